@@ -19,9 +19,11 @@ KEPT = 800_000
 #: Characters whose classes are the same in every Unicode version and library, and which lower-case one by one.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]*")
 #: The split patterns of the two files, for plain characters.
-LETTERS, NUMBERS, SIGNS = r"[^\W\d_²³¹¼½¾]+", r"[\d²³¹¼½¾]", r"(?:[^\s\w]|_)+"
-SPLIT_LOWER = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTERS}|{NUMBERS}|{SIGNS}")
-SPLIT_BYTES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTERS}| ?{NUMBERS}+| ?{SIGNS}|\s+(?!\S)|\s+")
+_L, _N = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+LETTERS, NUMBERS, SIGNS = f"[{_L}]+", f"[{_N}]", rf"[^\s{_L}{_N}]+"
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+SPLIT_LOWER = re.compile(f"{LETTERS}|{NUMBERS}|{SHORT}|{SIGNS}")
+SPLIT_BYTES = re.compile(rf" ?{LETTERS}|{SHORT}| ?{NUMBERS}+| ?{SIGNS}|\s+(?!\S)|\s+")
 #: Characters that not every library takes for white space.
 ODD_SPACES = "\x1c\x1d\x1e\x1f\x85᠎"
 #: A space inside a run of white space, where a cut could change the pre-tokens.

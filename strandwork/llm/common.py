@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         yield batch
         return
     begun = held = 0
-    for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
         if held and held + (n or 0) > SLICE_CHARS:
             yield batch.slice(begun, i - begun)
             begun, held = i, 0
