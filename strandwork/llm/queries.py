@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import packing, quality, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scores(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_packing": op3_packing, "op8_quality": op8_quality}
+    return {"op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
