@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, quality, wavelet
+from . import fingerprints, language, packing, quality, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op10_fingerprints": op10_fingerprints}
+    return {"op2_language": op2_language, "op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
