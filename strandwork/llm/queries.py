@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, quality, wavelet
+from . import fingerprints, jaccard, language, packing, quality, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_language": op2_language, "op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op10_fingerprints": op10_fingerprints}
+    return {"op2_language": op2_language, "op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op9_jaccard": op9_jaccard, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
