@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, language, packing, quality, wavelet
+from . import fingerprints, jaccard, language, packing, pages, quality, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_language": op2_language, "op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op9_jaccard": op9_jaccard, "op10_fingerprints": op10_fingerprints}
+    return {"op1_main_text": op1_main_text, "op2_language": op2_language, "op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op9_jaccard": op9_jaccard, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
