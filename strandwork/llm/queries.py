@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, language, packing, pages, quality, wavelet
+from . import fingerprints, jaccard, language, packing, pages, quality, sharding, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_main_text": op1_main_text, "op2_language": op2_language, "op3_packing": op3_packing, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op9_jaccard": op9_jaccard, "op10_fingerprints": op10_fingerprints}
+    return {"op1_main_text": op1_main_text, "op2_language": op2_language, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op5_wavelet": op5_wavelet, "op8_quality": op8_quality, "op9_jaccard": op9_jaccard, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
