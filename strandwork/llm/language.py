@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +172,27 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np
     return path
 
 
+def judged(model: Model, raw: list[str | None], places: list[list[tuple[int, int]]] | None = None) -> tuple:
+    """Each text's language and score, and for all their words the path and whether a script allows any language.
+
+    ``places``: the words' places, if they are wanted; lower-casing may change a text's length.
+    """
+    table, raw = scores_of(model), [x or "" for x in raw]
+    texts = [[x[a:b].lower() for a, b in own] for x, own in zip(raw, places, strict=True)] if places is not None else [WORD.findall(x.lower()) for x in raw]
+    codes = table.codes(texts)
+    sizes, kinds = np.array(list(map(len, codes)), np.int64), len(model.languages)
+    code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+    path = viterbi(table.rows[code], sizes)
+    known = table.known[code] if len(code) else np.zeros(0, bool)
+    letters = np.fromiter((len(w) for own in texts for w in own), np.int64, len(code))
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    sums = np.bincount(doc[known] * max(1, kinds) + path[known], letters[known], len(texts) * max(1, kinds)).reshape(len(texts), -1)
+    total, win = np.bincount(doc, letters, len(texts)), sums.argmax(axis=1)
+    most = sums[np.arange(len(texts)), win]
+    names = np.array([*model.languages, UNKNOWN], object)
+    return names[np.where(most > 0, win, kinds)], most / np.maximum(total, 1), path, known
+
+
 def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """``docs``'s doc_id and text's language: (doc_id, lang_pred, score), with ``spans`` also the labelled spans.
 
@@ -181,22 +203,10 @@ def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     shape = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,begin:int,end:int>>" * spans
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table, raw = scores_of(model), [x or "" for x in batch.column("text").to_pylist()]
-        # lower-casing may change a text's length, so spans are found in the text as it is
-        places = [[(m.start(), m.end()) for m in WORD.finditer(x)] for x in raw] if spans else []
-        texts = [[x[a:b].lower() for a, b in own] for x, own in zip(raw, places, strict=True)] if spans else [WORD.findall(x.lower()) for x in raw]
-        codes = table.codes(texts)
-        sizes, kinds = np.array(list(map(len, codes)), np.int64), len(model.languages)
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        path = viterbi(table.rows[code], sizes)
-        known = table.known[code] if len(code) else np.zeros(0, bool)
-        letters = np.fromiter((len(w) for own in texts for w in own), np.int64, len(code))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        sums = np.bincount(doc[known] * max(1, kinds) + path[known], letters[known], len(texts) * max(1, kinds)).reshape(len(texts), -1)
-        total, win = np.bincount(doc, letters, len(texts)), sums.argmax(axis=1)
-        most = sums[np.arange(len(texts)), win]
-        names = np.array([*model.languages, UNKNOWN], object)
-        out = [batch.column("doc_id"), pa.array(names[np.where(most > 0, win, kinds)], pa.string()), pa.array(most / np.maximum(total, 1))]
+        raw = batch.column("text").to_pylist()
+        places = [[(m.start(), m.end()) for m in WORD.finditer(x or "")] for x in raw] if spans else None
+        names, score, path, known = judged(model, raw, places)
+        out = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)]
         if spans:
             found, done = [], 0
             for own in places:
@@ -219,3 +229,22 @@ def predicted(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, by a model of those that aren't held out."""
     found = label(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def filter_docs(docs: DataFrame, least: float) -> DataFrame:
+    """The documents with a known language that has a share of ``least`` of their letters, with all their columns.
+
+    Each row is judged by its own text, so rows that repeat an id may fare differently.
+    """
+    model = fit(docs)
+    languages = frozenset(model.languages)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        found = []
+        for begin in range(0, len(texts), 1000):
+            names, share = judged(model, texts.iloc[begin : begin + 1000].tolist())[:2]
+            found += [n in languages and s >= least for n, s in zip(names, share, strict=True)]
+        return pd.Series(found, dtype=bool)
+
+    return docs.filter(known("text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, language, mixing, packing, pages, quality, sharding, wavelet
+from . import fingerprints, jaccard, language, mixing, packing, pages, quality, sharding, tokencounts, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counts(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scores(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_main_text": op1_main_text, "op2_language": op2_language, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op5_wavelet": op5_wavelet, "op6_mixing": op6_mixing, "op8_quality": op8_quality, "op9_jaccard": op9_jaccard, "op10_fingerprints": op10_fingerprints}
+    return {"op1_main_text": op1_main_text, "op2_language": op2_language, "op3_packing": op3_packing, "op4_sharding": op4_sharding, "op5_wavelet": op5_wavelet, "op6_mixing": op6_mixing, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_jaccard": op9_jaccard, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
