@@ -153,8 +153,16 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     members = common.checkpointed(members.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("set_id", "doc_id")).alias("set_id")))
     heads = rows.select("doc_id", "n", "prefix").join(members.filter("n > 0 and set_id = doc_id").select("doc_id", "n").distinct(), ["doc_id", "n"])
     tokens = heads.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("place", "token"))
-    leaders = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("first"), F.max(F.xxhash64("id")).alias("second")).filter("c > 1")
-    shared = common.checkpointed(tokens.join(leaders.select("token", "first", "second"), "token"))
+    # of two sets that share a shingle, sizes and places tell already whether they may be alike
+    size_place = F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long"))
+    low, high = (f(size_place).alias(name) for f, name in ((F.min, "low"), (F.max, "high")))
+    leaders = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("first"), low, high).filter("c > 1")
+    n, m = F.shiftright("low", 32), F.shiftright("high", 32)
+    room = F.least(n - F.col("low").bitwiseAND(F.lit(0xFFFFFFFF)), m - F.col("high").bitwiseAND(F.lit(0xFFFFFFFF)))
+    leaders = leaders.filter((F.col("c") > 2) | ((n * 100 >= m * percent) & (room >= needed(n, m, percent))))
+    shared = common.checkpointed(tokens.join(leaders.select("token", "first"), "token"))
+    second = shared.groupBy("token").agg(F.max(F.xxhash64("id")).alias("second"))
+    shared = shared.join(second, "token")
 
     maps = rows.select(F.col("doc_id").alias("id"), "bits")
     full = shared.join(maps.join(shared.select("id").distinct(), "id", "left_semi").distinct(), "id")
