@@ -104,11 +104,14 @@ def estimate(votes: DataFrame) -> DataFrame:
 
 def judged(votes: DataFrame, model: DataFrame) -> DataFrame:
     """``votes`` with ``quality``, the posterior probability of being good, and ``kept``."""
-    m = model.scalar()
+    # a numbered row: no filter on the verdict can move below it, where it would repeat the counts' expressions
+    out = votes.withColumns({"_model": model.scalar(), "_seal": F.monotonically_increasing_id()})
+    m = F.col("_model")
     odds = F.log(m["share"]) - F.log(1 - m["share"])
     for j, v in enumerate(VOTES):
         odds = odds + F.log(m["good"][j][F.col(v) + 1]) - F.log(m["bad"][j][F.col(v) + 1])
-    return votes.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
+    kept = ~F.col("base_failed") & (F.col("quality") >= KEEP_AT) & (F.col("_seal") >= 0)
+    return out.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", kept).drop("_model", "_seal")
 
 
 def scores(docs: DataFrame) -> DataFrame:
