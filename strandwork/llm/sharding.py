@@ -39,8 +39,8 @@ class Ranges:
     largest: np.ndarray
 
 
-def walks(r: Ranges, capacity: int, shards: int, whole: bool) -> list[int] | None:
-    """Where the greedy walk's shards end, in bytes from the start; None if ``shards`` don't reach the end.
+def walks(r: Ranges, capacity: int, shards: int, whole: bool) -> tuple[list[int], bool]:
+    """Where the greedy walk's shards end, in bytes from the start, and whether ``shards`` reach the end.
 
     With ``whole``, ranges are taken whole or not at all, so the true walk gets at least as far; else
     ranges of many atoms are cut anywhere, so the true walk gets no farther. Over single atoms both
@@ -50,13 +50,13 @@ def walks(r: Ranges, capacity: int, shards: int, whole: bool) -> list[int] | Non
     begins, out, done = ends - r.size, [], 0
     for _ in range(shards):
         if done + capacity >= ends[-1]:
-            return [*out, int(ends[-1])]
+            return [*out, int(ends[-1])], True
         k = int(np.searchsorted(ends, done + capacity, "right"))
         ahead = int(begins[k]) if whole or r.bits[k] == 0 else done + capacity
         if ahead <= done:
-            return None
+            break
         out.append(done := ahead)
-    return None
+    return out, False
 
 
 def smallest(r: Ranges, low: int, shards: int, whole: bool) -> int:
@@ -64,7 +64,7 @@ def smallest(r: Ranges, low: int, shards: int, whole: bool) -> int:
     high = int(r.size.sum())
     while low < high:
         mid = (low + high) // 2
-        low, high = (mid + 1, high) if walks(r, mid, shards, whole) is None else (low, mid)
+        low, high = (low, mid) if walks(r, mid, shards, whole)[1] else (mid + 1, high)
     return low
 
 
@@ -78,8 +78,8 @@ def open_ranges(r: Ranges, shards: int) -> np.ndarray:
     ends = np.cumsum(r.size)
     begins, found = ends - r.size, np.zeros(len(ends), bool)
     # a larger capacity gets farther with each shard, so each cut is between these two
-    far = walks(r, high, shards, whole=False)
-    near = walks(r, low, shards, whole=True) or []
+    far, _ = walks(r, high, shards, whole=False)
+    near, _ = walks(r, low, shards, whole=True)
     for j, end in enumerate(far):
         found |= (ends > (near[j] if j < len(near) else near[-1] if near else 0)) & (begins < end)
     return found & (r.bits > 0)
@@ -99,7 +99,7 @@ def plan(atoms: DataFrame, shards: int) -> list[int]:
         order = np.argsort(parts[0], kind="stable")
         known = Ranges(*(x[order] for x in parts))
         wanted = open_ranges(known, shards)
-    cuts = walks(known, smallest(known, int(known.largest.max()), shards, whole=True), shards, whole=True)
+    cuts, _ = walks(known, smallest(known, int(known.largest.max()), shards, whole=True), shards, whole=True)
     return [int(known.first[k]) for k in np.searchsorted(np.cumsum(known.size), cuts[:-1], "right")]
 
 
@@ -108,9 +108,10 @@ def refined(atoms: DataFrame, first: np.ndarray, bits: np.ndarray, step: int) ->
     found = None
     for wide in sorted(set(bits.tolist())):
         fine = max(0, wide - step)
-        tops = (first[bits == wide] >> wide).tolist()
+        # RANGES rows at most
+        tops = F.broadcast(atoms.sparkSession.createDataFrame(pd.DataFrame({"top": first[bits == wide] >> wide})))
         place = F.shiftright("key", fine)
-        sums = atoms.filter(F.shiftright("key", wide).isin(tops)).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("size").alias("largest"), F.min("key").alias("least"))
+        sums = atoms.join(tops, F.shiftright("key", wide) == F.col("top")).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("size").alias("largest"), F.min("key").alias("least"))
         one = F.col("n") == 1
         own = sums.select(F.when(one, F.col("least")).otherwise(F.shiftleft("place", fine)).alias("first"), F.when(one, 0).otherwise(fine).alias("bits"), "size", "largest")
         found = own if found is None else found.union(own)
