@@ -1,15 +1,21 @@
-"""Every registered query with its SQL."""
+"""Every registered query of the peptide operators with its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
 
+from . import queries as own
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return own.library_screen(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(own.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(own.SQL)
