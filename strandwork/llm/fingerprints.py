@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common, graph, jaccard, shingles
 
 WORDS, PLACES, SEED = 5, 128, 20_240
 LARGEST = 0xFFFFFFFF
@@ -144,3 +144,46 @@ def compared(docs: DataFrame) -> DataFrame:
     if docs.select(F.lit(1)).isEmpty():
         return docs.sparkSession.createDataFrame([], SCHEMA)
     return with_next(docs).mapInArrow(run, SCHEMA)
+
+
+#: Bands of a fingerprint and places of a band: at a similarity of 0.8, one pair in twenty million shares no band.
+BANDS = 32
+
+
+def band_keys(docs: DataFrame, bands: int = BANDS) -> DataFrame:
+    """(id, key): a hash of each band of each document's fingerprint. Documents without words have none."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        sig = signatures(texts)
+        full = np.flatnonzero((sig != LARGEST).any(axis=1))
+        values = np.ascontiguousarray(sig[full]).reshape(len(full) * bands, -1).astype(np.uint64)
+        mixed = np.tile(np.arange(bands, dtype=np.uint64), len(full))
+        for k in range(values.shape[1]):
+            mixed = shingles.mixed(mixed * shingles.PLACES[k] + values[:, k])
+        ids = batch.column("doc_id").take(pa.array(np.repeat(full, bands)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(mixed.view(np.int64))], names=["id", "key"])
+
+    return common.map_texts(docs.filter(F.col("doc_id").isNotNull()), [F.col("doc_id").cast("long").alias("doc_id"), "text"], "text", run, "id long, key long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id and component_id of every row: documents that share a band and whose five-word shingle sets are similar enough are linked.
+
+    Each document is first compared with the one of the smallest id in each of its bands, then with all
+    those of its bands that are not joined to it yet, so a large group of copies gives few pairs and no
+    pair is left out. A row without doc_id has a null component; one without words is alone.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = band_keys(docs)
+    first = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("first")).filter("c > 1").select("key", "first")
+    shared = common.checkpointed(keys.join(first, "key"))
+    star = common.checkpointed(shared.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    links = common.checkpointed(jaccard.similar(docs, star, WORDS, percent))
+    label = graph.components(links)
+    joined = common.checkpointed(shared.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")))
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+    rest = joined.alias("x").join(joined.alias("y"), across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = jaccard.similar(docs, common.checkpointed(rest), WORDS, percent)
+    label = graph.components(links.union(more))
+    return docs.select(F.col("doc_id")).join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("component_id"))
