@@ -111,7 +111,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
 class Scores(dict):
     """A word's row of ``rows`` by the word: its weighted score in each language, far down where its script forbids."""
 
-    MOST, FAR = 400_000, np.float32(-1e4)
+    MOST, FAR = 150_000, np.float32(-1e4)
 
     def __init__(self, model: Model) -> None:
         self.model, self.rows = model, np.zeros((0, len(model.languages)), np.float32)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words kept in a worker before the table starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 #: Odd multipliers of the places in a shingle.
 PLACES = np.array([int.from_bytes(xxhash.xxh64_digest(b"place", i), "big") | 1 for i in range(16)], np.uint64)
 
