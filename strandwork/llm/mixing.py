@@ -1,13 +1,17 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of slots of equal word counts. Slot i's van der Corput point falls into one source's
-part of the cumulative weights, and the slot takes that source's next block: its documents, shuffled,
-are one row of words cut into equal blocks, gone through again from the start when they run out. The
-sources' shares are then right in every stretch of the mix, not only at its end.
+The mix is a row of slots of one word each, as many for a source as its target has words. Slots are
+ordered by their van der Corput points; each source has a stretch of that order, and a slot takes the
+next word of its source: its documents, shuffled, are one row of words, gone through again from the
+start when it runs out. The sources' shares are then right to a few words in every stretch of the mix,
+and to the word at its end.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +19,8 @@ from . import common, ranks
 
 #: Weights of the sources in code point order, null last, again and again; words of the mix for each word of the input.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Slots of a schedule at most; with more words a slot holds more, so its length is the mix's over this.
-SLOTS, POINT_BITS = 1 << 20, 40
+#: Bits of a slot's van der Corput point.
+POINT_BITS = 40
 SEED = 6
 SIZE = r"cast(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) as long)"
 
@@ -38,13 +42,30 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
+def slots_below(slots: int, limit: int) -> int:
+    """How many of the slots 0, 1, ... have a van der Corput point below ``limit`` / 2^POINT_BITS."""
+    found = 0
+    for bit in range(POINT_BITS):  # points that leave the limit's leading bits at this one
+        if limit >> (POINT_BITS - 1 - bit) & 1:
+            rest = int(f"{limit >> (POINT_BITS - bit):b}".zfill(bit)[::-1], 2) if bit else 0
+            found += max(0, -(-(slots - rest) // (2 << bit)))
+    return found
+
+
+def source_at(slot: int, counts: list[int]) -> int:
+    """The source of a slot: the one whose part of the cumulative ``counts`` has the rank of the slot's point among all slots'."""
+    point = int(f"{slot:0{POINT_BITS}b}"[::-1], 2)
+    return bisect.bisect_right(list(itertools.accumulate(counts)), slots_below(sum(counts), point))
+
+
 def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """For every row of ``docs`` (doc_id, text, source): doc_id, hash (of the text), size, source_size, target and taken.
 
-    Sizes are words; a null text has none. ``taken`` counts the words of the document in all slots'
-    blocks, at most ``most`` times its size. The order of a source's documents is that of a hash of
-    doc_id and SEED, so reruns agree. The driver holds a row for each source, and no more than SLOTS
-    slots are made, whatever the input. An empty table gives no row; a source without words a target of 0.
+    Sizes are words; a null text has none. ``taken`` counts the words of the document in all its
+    source's slots. Those are the target to the nearest word, at most ``most`` times the size, and are
+    counted without being made, so nothing depends on the size of the input. The order of a source's
+    documents is that of a hash of doc_id and SEED, so reruns agree. The driver holds a row for each
+    source. An empty table gives no row; a source without words a target of 0.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.expr(SIZE).alias("size"), F.xxhash64("text").alias("hash"))
@@ -53,34 +74,17 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     names = sorted(found, key=lambda x: (x is None, x or ""))
     sizes = [found[x][1] for x in names]
     aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(names))], share, most)
-    total = sum(aims)
-    length = max(1, -(-int(total) // SLOTS))
-    blocks = [-(-n // length) for n in sizes]
-    table = spark.createDataFrame([(i, x, n, float(t)) for i, (x, n, t) in enumerate(zip(names, sizes, aims, strict=True))], "s int, source string, source_size long, target double")
+    counts = [min(most * n, round(t)) for n, t in zip(sizes, aims, strict=True)]
+    table = spark.createDataFrame([(i, x, n, float(t), c) for i, (x, n, t, c) in enumerate(zip(names, sizes, aims, counts, strict=True))], "s int, source string, source_size long, target double, slots long")
     # one row for each source, as the driver holds them
     rows = rows.join(F.broadcast(table.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
-    slots = -(-int(total) // length) if total else 0
-    ends, done = [], 0.0
-    for t in aims[:-1]:
-        done += t
-        ends.append(done / total if total else 0.0)
-    point = F.conv(F.reverse(F.lpad(F.bin("id"), POINT_BITS, "0")), 2, 10).cast("double") / 2**POINT_BITS
-    source = F.size(F.filter(F.array(*[F.lit(x) for x in ends]).cast("array<double>"), lambda x: x <= F.col("point")))
-    row = spark.range(slots).withColumn("point", point).withColumn("s", source).withColumn("order", F.shiftleft("id", 62 - max(1, slots).bit_length()))
-    turn = ranks.before(row.select("id", "s", "order"), ["s"], "order", [], {"rank": F.lit(1)}, slots)
-    count = F.element_at(F.array(*[F.lit(b).cast("long") for b in [*blocks, 0]]), F.col("s") + 1)
-    turns = turn.withColumn("blocks", count).filter(F.col("rank") < F.col("blocks") * most).withColumn("block", F.col("rank") % F.col("blocks"))
-    times = turns.groupBy("s", "block").agg(F.count("*").alias("times"))
-
     n = sum(x[0] for x in found.values())
     placed = ranks.before(rows.withColumn("mixed", F.xxhash64("doc_id", F.lit(SEED))), ["s"], "mixed", ["doc_id", "row"], {"begin": F.col("size")}, n)
-    first, end = F.expr(f"begin div {length}"), F.col("begin") + F.col("size")
-    spans = placed.withColumn("block", F.explode(F.sequence(first, F.greatest(first, F.expr(f"(begin + size - 1) div {length}")))))
-    overlap = F.greatest(F.lit(0), F.least(end, (F.col("block") + 1) * length) - F.greatest("begin", F.col("block") * length))
-    keys = ["row", "doc_id", "hash", "size", "source_size", "target"]
-    taken = spans.join(times, ["s", "block"], "left").groupBy(*keys).agg(F.sum(overlap * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    return taken.drop("row")
+    # the whole rounds through the source's words, and what the last one reaches
+    rounds, last = F.expr("slots div greatest(source_size, 1)"), F.expr("slots % greatest(source_size, 1)")
+    taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least("size", last - F.col("begin")))
+    return placed.select("doc_id", "hash", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -279,6 +279,25 @@ def test_mixing(spark, docs, empty):
     assert all(any((t or "").startswith(r["text"]) for i, t, *_ in ROWS if i == r["doc_id"]) for r in mixed)
 
 
+def test_mixing_with_sources_smaller_than_the_rest(spark):
+    long = [(i, "a " * 100_000, "a") for i in range(40)]
+    short = [(100 + i, " ".join(["b"] * n), "b") for i, n in enumerate((3, 0, 200, 97))] + [(200 + i, "c", "c") for i in range(5)] + [(300, "d d d", None)]
+    found = mixing.schedule(spark.createDataFrame(long + short, "doc_id long, text string, source string")).collect()
+    taken = {r["doc_id"]: r["taken"] for r in found}
+    assert all(taken[i] == 2 * len(words(t)) for i, t, _ in short)
+    total = {r["source_size"]: r["target"] for r in found}
+    assert sum(taken[i] for i, *_ in long) == round(total[4_000_000]) == 4_000_308 * 3 // 2 - 2 * 308
+
+
+def test_mixing_slots():
+    counts = [300, 5, 0, 90, 1]
+    n = sum(counts)
+    of = [mixing.source_at(i, counts) for i in range(n)]
+    assert [of.count(s) for s in range(5)] == counts
+    for k in range(n):
+        assert all(abs(of[:k].count(s) - k * counts[s] / n) <= 2 + n.bit_length() / 2 for s in range(5))
+
+
 def test_token_counts(docs, empty):
     scores = tokencounts.pieces(common.tokenizer_path("piece_bpe_32k.model"))
 
