@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: More rounds than any graph of 2^63 nodes needs.
-ROUNDS = 100
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every node of ``links`` (a, b): the smallest id that it can reach.
 
-    Each round a node takes the smallest label among its neighbours' and its own, and then that
-    label's label, so paths shorten by half. Every round is cut off by a checkpoint; none is collected.
+    Each round a node hears the labels of its neighbours' and its own labels. It takes the smallest of
+    them, and so does the node that was its label, so whole trees of labels hook on and not their leaves
+    alone; on paths, rounds grow with the logarithm of the length whatever the order of ids. Labels only
+    fall, and when none does they are settled. Every round is cut off by a checkpoint; none is collected.
     """
-    edges = common.checkpointed(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    label = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
-    label = common.checkpointed(label)
-    for _ in range(ROUNDS):
-        near = edges.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hooked = label.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jumped = hooked.join(label.select(F.col("id").alias("label"), F.col("label").alias("far")), "label").select("id", "old", F.least("label", "far").alias("label"))
-        jumped = common.checkpointed(jumped)
-        label = jumped.select("id", "label")
-        if jumped.filter("label <> old").isEmpty():
+    links = links.select("a", "b").filter("a <> b")
+    edges = common.checkpointed(links.select("a", F.explode(F.array("a", "b")).alias("b")).union(links.select("b", F.explode(F.array("a", "b")))).distinct())
+    label = common.checkpointed(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")))
+    while True:
+        far = label.join(label.select(F.col("id").alias("label"), F.col("label").alias("far")), "label").select(F.col("id").alias("b"), "far")
+        near = edges.join(far, "b").groupBy(F.col("a").alias("id")).agg(F.min("far").alias("near"))
+        heard = label.join(near, "id").select(F.explode(F.array(F.struct("id", "near", F.col("label").alias("old")), F.struct(F.col("label").alias("id"), "near", F.lit(None).cast("long").alias("old")))).alias("x"))
+        hooked = heard.groupBy(F.col("x.id").alias("id")).agg(F.min("x.near").alias("label"), F.max("x.old").alias("old"))
+        hooked = common.checkpointed(hooked)
+        label = hooked.select("id", "label")
+        if hooked.filter("label <> old").isEmpty():
             return label
-    raise RuntimeError("the labels did not settle")

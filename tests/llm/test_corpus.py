@@ -204,6 +204,15 @@ def test_graph(spark):
     assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_graph_of_long_paths_in_any_order(spark):
+    shuffled, n = list(range(1000, 1400)), 150
+    random.Random(6).shuffle(shuffled)
+    descending = [0, *range(n - 1, 0, -1)]
+    edges = [e for path in (shuffled, descending) for e in zip(path, path[1:], strict=False)]
+    found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert found == dict.fromkeys(range(n), 0) | dict.fromkeys(shuffled, 1000)
+
+
 def test_fingerprints(docs, empty):
     rows = sorted(ROWS, key=lambda r: (r[0], r[1] or ""))
     texts = [t or "" for _, t, *_ in rows]
