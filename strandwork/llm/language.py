@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from . import common, shingles
 
-#: A model is fitted on about so many labelled texts at most, those with the smallest hashes of doc_id; they are read whole.
+#: A model is fitted on about so many labelled texts of each language at most, those with the smallest hashes of doc_id; they are read whole.
 FIT_ROWS = 8_000
 SIZES, BUCKETS, SMOOTH = (2, 3, 4), 1 << 16, 0.5
-#: Weight of a word's score, the cost of a switch, the least share of a script's or language's letters that counts.
+#: Weight of a word's score, the cost of a switch, the least share of a language's letters in a script that counts.
 WEIGHT, SWITCH, LEAST_SHARE = 0.5, 6.0, 0.001
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -76,10 +76,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model of the labelled texts of ``docs`` (doc_id, text, lang) that aren't held out: FIT_ROWS of them, chosen by hash."""
+    """A model of the labelled texts of ``docs`` (doc_id, text, lang) that aren't held out: FIT_ROWS of each language, chosen by hash. The driver holds a row for each language."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    n = labelled.select("lang").count()
-    some = labelled.filter(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= min(1.0, rows / max(1, n)))
+    sizes = labelled.groupBy("lang").count().collect()
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows / r["count"])) for r in sizes], "lang string, rate double")
+    some = labelled.join(F.broadcast(rates), "lang").filter(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= F.col("rate"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -103,8 +104,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     sums[found["place"], [index[x] for x in found["lang"]]] = found["n"]
     grams, scripts = sums[:BUCKETS] + SMOOTH, sums[BUCKETS:]
     table = np.log(grams / grams.sum(axis=0)) if languages else grams
-    share = lambda axis: scripts / np.maximum(scripts.sum(axis=axis, keepdims=True), 1e-9)
-    allowed = (scripts > 0) & (share(0) >= LEAST_SHARE) & (share(1) >= LEAST_SHARE)
+    allowed = (scripts > 0) & (scripts >= LEAST_SHARE * scripts.sum(axis=0))
     return Model(languages, table.astype(np.float32), allowed)
 
 

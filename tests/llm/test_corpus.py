@@ -154,6 +154,19 @@ def test_language(spark, docs, empty):
     assert tuple(language.viterbi(score, np.array([6]), 2.0)) == best
 
 
+def test_language_of_few_documents(spark):
+    kinds = {"en": "the of and to in is that it was for".split(), "fr": "le la les des et une dans que pour avec".split()}
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(kinds["fr" if i % 1000 == 1 else "en"]) for _ in range(40)), "fr" if i % 1000 == 1 else "en") for i in range(4000)]
+    rare = [i for i, _, k in rows if k == "fr"]
+    assert not all(zlib.crc32(str(i).encode()) % 4 == 2 for i in rare)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for fitted in (language.FIT_ROWS, 40):  # a sample of 40 of all rows would hardly hold one
+        model = language.fit(table, fitted)
+        found = {x["doc_id"]: x["lang_pred"] for x in language.label(table, model).collect()}
+        assert model.languages == ["en", "fr"] and all(found[i] == k for i, _, k in rows)
+
+
 def brute_components(rows, k, percent):
     lower = str.maketrans({i: i + 32 for i in range(65, 91)})
     sets = collections.defaultdict(list)
