@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(docs)
+    return packing.digest(docs, added=True)
 
 
 STAGES = [("quality rules", keep_good), ("language", keep_known_language), ("near copies", keep_distinct), ("mixing", mix), ("packing", pack)]

@@ -41,14 +41,19 @@ BYTE_LETTERS = byte_letters()
 
 
 class Encoder(dict):
-    """A pre-token's code by the pre-token; ``flat[at[code] : at[code + 1]]`` are its ids."""
+    """A pre-token's code by the pre-token; ``flat[at[code] : at[code + 1]]`` are its ids.
 
-    def __init__(self, path: str) -> None:
+    With ``added``, the file's added tokens that stand in a text get their own ids, as in the library's
+    plain call; else they are text like any other.
+    """
+
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values()) if added else ()
         self.lowers = self.tokenizer.normalizer is not None
         self.split = (SPLIT_LOWER if self.lowers else SPLIT_BYTES).findall
         self.merge = self.tokenizer.model.tokenize
@@ -59,7 +64,7 @@ class Encoder(dict):
         self.flat, self.at = array("I"), array("q", [0])
 
     def __missing__(self, chunk: str) -> int:
-        if PLAIN.fullmatch(chunk):
+        if PLAIN.fullmatch(chunk) and not self.marked(chunk):
             for part in self.split(chunk.lower() if self.lowers else chunk):
                 self.flat.extend([x.id for x in self.merge(part.encode().decode("latin-1").translate(BYTE_LETTERS))])
         else:
@@ -68,8 +73,13 @@ class Encoder(dict):
         self[chunk] = code = len(self.at) - 2
         return code
 
+    def marked(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def cut(self, text: str) -> list[str]:
         """Pieces of the text, each of which may be encoded alone."""
+        if self.marked(text):
+            return [text]
         if PLAIN.fullmatch(text):
             return self.split(text.lower() if self.lowers else text)
         if self.lowers:
@@ -98,6 +108,6 @@ class Encoder(dict):
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One encoder for each file in a worker."""
-    return Encoder(path)
+    return Encoder(path, added)

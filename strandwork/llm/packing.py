@@ -25,19 +25,19 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pieces(docs: DataFrame, path: str | None = None, longest: int = LONGEST, end: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, longest: int = LONGEST, end: int = END_ID, added: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     ``docs`` has doc_id and text; other columns are ignored. A null or empty text is one end id. Rows
     that repeat a doc_id are packed each on its own. Each piece fills its sequence from offset 0.
     sequence_id has the length's exponent above 59 bits that are unique, so equal lengths are adjacent.
-    No shuffle: a row needs no other row. An empty table gives no piece.
+    ``added``: added tokens in a text get their own ids. No shuffle: a row needs no other row. An empty table gives no piece.
     """
     path = path or common.tokenizer_path("word_bpe_49k.json")
     assert longest & (longest - 1) == 0, "the longest sequence must be a power of two"
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, starts = bpe.encoder(path).encode([x or "" for x in batch.column("text").to_pylist()], end)
+        ids, starts = bpe.encoder(path, added).encode([x or "" for x in batch.column("text").to_pylist()], end)
         doc, start, length, total, at = [], [], [], [], []
         for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
             done = 0
@@ -63,6 +63,6 @@ def write_buckets(docs: DataFrame, folder: str, **options: object) -> None:
     pieces(docs, **options).withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(folder)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, **options: object) -> DataFrame:
     """The contract's columns: ids as their crc32."""
-    return pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces(docs, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -21,7 +21,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(table(spark, sf_dir, "documents"))
+    return packing.digest(table(spark, sf_dir, "documents"), added=True)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.digest(table(spark, sf_dir, "documents"))
+    return wavelet.digest(table(spark, sf_dir, "documents"), added=True)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

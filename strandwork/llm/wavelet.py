@@ -145,12 +145,12 @@ class Shard:
         return now
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, shard_ids: int = SHARD_IDS, end: int = END_ID) -> DataFrame:
+def write(docs: DataFrame, folder: str, path: str | None = None, shard_ids: int = SHARD_IDS, end: int = END_ID, added: bool = False) -> DataFrame:
     """Writes the ids of all documents in ascending doc_id order as shard files; returns the manifest (part, no, path, n_docs, n_ids).
 
     Documents are dealt by ranges of doc_id and sorted, each range streams into its own files, and a
     file is renamed into place when whole, so a task that runs again overwrites its own files with
-    the same bytes. A null text is empty; null ids come first; rows that repeat a doc_id stay, by text.
+    the same bytes. ``added``: added tokens in a text get their own ids. A null text is empty; null ids come first; rows that repeat a doc_id stay, by text.
     """
     path = path or common.tokenizer_path("byte_bpe_50k.json")
 
@@ -171,7 +171,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_ids: int
             for piece in common.slices(batch, "text"):
                 if not piece.num_rows:
                     continue
-                ids, starts = bpe.encoder(path).encode([x or "" for x in piece.column("text").to_pylist()], end)
+                ids, starts = bpe.encoder(path, added).encode([x or "" for x in piece.column("text").to_pylist()], end)
                 held.append((piece.column("doc_id").to_pylist(), ids, np.diff(starts)))
                 n += len(ids)
                 if n >= shard_ids:
@@ -214,8 +214,8 @@ def read(manifest: DataFrame, folder: str, most_ids: int = 1 << 20) -> DataFrame
     return shards.repartition(common.shuffle_partitions(spark)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, **options: object) -> DataFrame:
     """The contract's columns, from files written to a new folder in the shared one."""
     folder = f"{common.shared_dir(docs.sparkSession).rstrip('/')}/wavelet-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    return read(write(docs, folder), folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(write(docs, folder, **options), folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

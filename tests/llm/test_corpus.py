@@ -106,6 +106,25 @@ def test_wavelet(spark, docs, empty, tmp_path):
     assert wavelet.Shard(wavelet.encode(np.zeros(0, np.uint32), np.zeros(0, int), np.zeros(0, int))).ids().tolist() == []
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_queries_ids_are_the_plain_calls(spark, tmp_path, name):
+    from tokenizers import Tokenizer
+
+    from strandwork.llm import queries
+
+    plain = Tokenizer.from_file(common.tokenizer_path(name))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>Y <|ENDOFTEXT|>", "é中 <|endoftext|>\n\n  z <|endoftext|>", "plain text", None]
+    expected = [[*plain.encode(t or "", add_special_tokens=False).ids, 2 if name.startswith("word") else 0] for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    if name.startswith("word"):
+        found = {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in queries.op3_packing(spark, str(tmp_path)).collect()}
+        cut = lambda x: zip(np.cumsum([0, *packing.lengths(len(x), 4096)]).tolist(), packing.lengths(len(x), 4096), strict=False)
+        assert found == {(i, a, n, zlib.crc32(np.array(x[a : a + n], "<u4").tobytes())) for i, x in enumerate(expected) for a, n in cut(x)}
+    else:
+        found = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op5_wavelet(spark, str(tmp_path)).collect()}
+        assert found == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(expected)}
+
+
 def counts(t):
     w = words(t)
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
