@@ -257,7 +257,7 @@ def select_top(spark, d):
 def select_diverse(spark, d):
     v = valid(spark, d)
     x = selection.panel_success(selection.predictions(v)).join(similarity.nearest(v, view(spark, d, "refset")), "sequence")
-    return spark.createDataFrame(selection.diverse_top(x, 50, 25), "rank int, sequence string, score double, rung double")
+    return spark.createDataFrame(selection.diverse_top(x, 100, 100), "rank int, sequence string, score double, rung double")
 
 
 @query(f"""SELECT species, weight, mic_um, hc50_um, selectivity, charge_per_res, mu_h, gravy, cys_class FROM (SELECT p.species, p.w*s.sw AS weight, mic_um, hc50_um, selectivity, charge_per_res, mu_h, gravy, 1 AS cys_class FROM (VALUES {",".join(f"('{s}',{w})" for s, w in SPECIES.items())}) p(species,w),

@@ -60,6 +60,12 @@ def test_identity_is_by_longest_common_subsequence():
         assert selection.identity(a, b) == brute(a, b)
 
 
+def test_select_diverse_gives_the_references_hundred(spark):
+    rows = registry.queries()["select_diverse"](spark, FOLDER).collect()
+    assert [r["rank"] for r in rows] == list(range(1, 101)) and all(r["score"] > -5 for r in rows)
+    assert all(selection.identity(a["sequence"], b["sequence"]) <= a["rung"] for a, b in itertools.combinations(rows, 2))
+
+
 def test_splits_and_negatives(spark):
     assert set(selection.packed_splits([(1, 80), (2, 10), (3, 10)], {"train": 0.8, "val": 0.1, "test": 0.1}).items()) == {(1, "train"), (2, "val"), (3, "test")}
     rows = selection.negatives(spark.createDataFrame([("ACDEFGHIKLMN",), ("KKKKKKKK",)], "sequence string")).collect()
