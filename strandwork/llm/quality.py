@@ -1,10 +1,12 @@
 """Quality rules by weak supervision, in DataFrame and SQL functions only.
 
-Eight rules look at a text's counts and vote good (1), bad (-1) or abstain (0). Nobody says which rules
-are right: expectation-maximisation over the counts of vote patterns (3^8 at most, whatever the number
-of documents) estimates how often each rule votes what on good and on bad texts, and the share of good
-texts. A document is kept if its posterior probability of being good is at least one half and it fails
-neither base rule.
+Nine rules look at a text's counts and vote good (1), bad (-1) or abstain (0). Nobody says which rules
+are right: expectation-maximisation over the counts of vote patterns (3^9 at most, whatever the number
+of documents) estimates how often each rule that votes says bad of good and of bad texts, and the share
+of good texts. An abstention says nothing. The start is each text's own majority, so a rule counts as
+far as others agree with it: one bad vote among good ones doesn't reject a text, unless that rule has
+shown that it is right. A document is kept if its posterior probability of being good is at least one
+half and it fails neither base rule; the documents that fail one are decided and not learned from.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ STEPS: list[dict[str, str]] = [
         "_lines": r"filter(split(coalesce(text, ''), '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')",
         "n_symbols": "cast(regexp_count(coalesce(text, ''), '[#*$%&|<>]') as long)",
         "n_upper": r"cast(regexp_count(coalesce(text, ''), '\\p{Lu}') as long)",
+        # a match is a word from its first symbol on, or a whole word without a letter
+        "n_symbol_words": r"cast(regexp_count(coalesce(text, ''), '[#*$%&|<>][^\\x20\\x09-\\x0D]*+') as long)",
+        "n_bare_words": r"cast(regexp_count(coalesce(text, ''), '(?<![^\\x20\\x09-\\x0D])[^\\p{L}\\x20\\x09-\\x0D]++(?![^\\x20\\x09-\\x0D])') as long)",
     },
     {
         "n_words": "cast(size(_words) as long)",
@@ -39,7 +44,7 @@ STEPS: list[dict[str, str]] = [
     {"_found": "sort_array(transform(filter(_sorted, (x, j) -> (get(_sorted, j - 1).h = x.h) or (get(_sorted, j + 1).h = x.h)), x -> x.i))"},
     {"n_repeat_words": "coalesce(aggregate(transform(_found, (x, j) -> least(3, x - coalesce(get(_found, j - 1), -3))), 0L, (a, x) -> a + x), 0L)"},
 ]
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_ends", "n_upper"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_ends", "n_upper", "n_symbol_words", "n_bare_words"]
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 #: What each rule calls bad and good, in integers; it abstains on the rest.
@@ -48,19 +53,15 @@ RULES: dict[str, tuple[str, str]] = {
     "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
     "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0 and n_lines > 1"),
     "word_length": ("10 * word_chars < 35 * n_words or 10 * word_chars > 75 * n_words", "10 * word_chars between 40 * n_words and 65 * n_words"),
-    "length": ("false", "n_words >= 100"),
     "variety": ("n_words >= 50 and 5 * n_distinct_words < n_words", "5 * n_distinct_words >= 2 * n_words"),
     "capitals": ("10 * n_upper > 3 * word_chars", "100 * n_upper <= 15 * word_chars"),
+    "symbol_words": ("20 * n_symbol_words > n_words", "100 * n_symbol_words <= 3 * n_words"),
+    "bare_words": ("5 * n_bare_words > n_words", "10 * n_bare_words <= n_words"),
     "sentences": ("2 * n_ends > n_words", "100 * n_ends between 2 * n_words and 30 * n_words"),
 }
 VOTES = [f"vote_{k}" for k in RULES]
 
-#: Start of expectation-maximisation: the chance that a text is good if no rule calls it bad, and if one does.
-START_CLEAR, START_CALLED = 0.9, 0.1
-ROUNDS, SMOOTH, KEEP_AT = 25, 1.0, 0.5
-#: Rules call bad only what is plainly out of range, so on good texts no rule's bad votes may be thought commoner than this.
-#: Without it, the likeliest two classes are "repeats" and "the rest", and texts bad in another way count as good.
-FALSE_ALARM = 0.0005
+ROUNDS, KEEP_AT = 25, 0.5
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -75,29 +76,31 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def patterns(votes: DataFrame) -> DataFrame:
-    """How many documents have each pattern of votes: 3^8 rows at most."""
-    return votes.groupBy(*VOTES).agg(F.count("*").cast("double").alias("n"))
+    """How many documents that pass the base rules have each pattern of votes: 3^9 rows at most."""
+    return votes.filter("not base_failed").groupBy(*VOTES).agg(F.count("*").cast("double").alias("n"))
 
 
 def estimate(votes: DataFrame) -> DataFrame:
-    """One row: ``share`` of good texts, and ``good`` and ``bad``, the chances of each rule's votes (-1, 0, 1) on such texts.
+    """One row: ``share`` of good texts, and ``good`` and ``bad``, the chance of each rule's vote being bad on such texts.
 
     The rounds of expectation-maximisation fold over the array of vote patterns, which is bounded by
-    the number of rules. Over no documents the rates are even.
+    the number of rules. One good and one bad text, and one vote of each kind, are added to every count,
+    so over no documents the rates are even.
     """
     rules = len(VOTES)
-    likely = lambda side: f"aggregate(sequence(0, {rules - 1}), 0D, (s, j) -> s + ln(m.{side}[j][x.v[j] + 1]))"
-    # each pattern's votes, its count and the chance of good
+    # a rule's term in the odds of good, from its vote and the chances of a bad one
+    term = "(case x.v[j] when -1 then ln(m.good[j]) - ln(m.bad[j]) when 1 then ln(1D - m.good[j]) - ln(1D - m.bad[j]) else 0D end)"
+    odds = f"ln(m.share) - ln(1D - m.share) + aggregate(sequence(0, {rules - 1}), 0D, (s, j) -> s + {term})"
     with_chance = lambda chance: f"transform(ps, x -> named_struct('v', x.v, 'n', x.n, 'q', {chance}))"
-    posterior = f"1D / (1D + exp(ln(1D - m.share) - ln(m.share) + {likely('bad')} - {likely('good')}))"
-    sums = lambda w, which: f"aggregate(q, 0D, (s, x) -> s + {w} * {which})"
-    rates = lambda w, most: f"transform(sequence(0, {rules - 1}), j -> transform(array(-1, 0, 1), k -> least(if(k = -1, {most}D, 1D), ({SMOOTH}D + {sums(w, 'if(x.v[j] = k, 1D, 0D)')}) / ({3 * SMOOTH}D + {sums(w, '1D')}))))"
+    total = lambda what: f"aggregate(q, 0D, (s, x) -> s + {what})"
+    rates = lambda w: f"transform(sequence(0, {rules - 1}), j -> (1D + {total(f'if(x.v[j] = -1, {w}, 0D)')}) / (2D + {total(f'if(x.v[j] <> 0, {w}, 0D)')}))"
     good, bad = "x.n * x.q", "x.n * (1D - x.q)"
-    maximised = f"named_struct('share', ({SMOOTH}D + {sums(good, '1D')}) / ({2 * SMOOTH}D + {sums('x.n', '1D')}), 'good', {rates(good, FALSE_ALARM)}, 'bad', {rates(bad, 1)})"
+    maximised = f"named_struct('share', (1D + {total(good)}) / (2D + {total('x.n')}), 'good', {rates(good)}, 'bad', {rates(bad)})"
     # a let: the chances are computed once a round and then summed
     step = lambda chance: f"transform(array({with_chance(chance)}), q -> {maximised})[0]"
-    start = step(f"if(array_contains(x.v, -1), {START_CALLED}D, {START_CLEAR}D)")
-    folded = f"aggregate(sequence(1, {ROUNDS}), {start}, (m, i) -> {step(posterior)})"
+    votes_of = lambda k: f"size(filter(x.v, y -> y = {k}))"
+    start = step(f"(1D + {votes_of(1)}) / (2D + {votes_of(1)} + {votes_of(-1)})")
+    folded = f"aggregate(sequence(1, {ROUNDS}), {start}, (m, i) -> {step(f'1D / (1D + exp(-({odds})))')})"
     gathered = patterns(votes).select(F.struct(F.array(*VOTES).alias("v"), "n").alias("p")).agg(F.sort_array(F.collect_list("p")).alias("ps"))
     return gathered.selectExpr(f"{folded} as model")
 
@@ -109,7 +112,9 @@ def judged(votes: DataFrame, model: DataFrame) -> DataFrame:
     m = F.col("_model")
     odds = F.log(m["share"]) - F.log(1 - m["share"])
     for j, v in enumerate(VOTES):
-        odds = odds + F.log(m["good"][j][F.col(v) + 1]) - F.log(m["bad"][j][F.col(v) + 1])
+        good, bad = m["good"][j], m["bad"][j]
+        said = F.when(F.col(v) == -1, F.log(good) - F.log(bad)).when(F.col(v) == 1, F.log(1 - good) - F.log(1 - bad))
+        odds = odds + F.coalesce(said, F.lit(0.0))
     kept = ~F.col("base_failed") & (F.col("quality") >= KEEP_AT) & (F.col("_seal") >= 0)
     return out.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", kept).drop("_model", "_seal")
 
@@ -126,7 +131,11 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def filter_docs(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that are kept, with all their columns, whatever their names.
+
+    The rows are checkpointed with their votes, so the counts of each text are made once. Null and
+    empty texts fail the base rules and go; equal rows fare alike; an empty table stays empty.
+    """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    votes = counted(own)
-    return judged(votes, estimate(counted(docs.select("text")))).filter("kept").select("doc.*")
+    votes = common.checkpointed(counted(own).select("doc", "base_failed", *VOTES))
+    return judged(votes, estimate(votes)).filter("kept").select("doc.*")
