@@ -16,6 +16,8 @@ import numpy as np
 
 #: Pre-tokens kept in a worker before the table starts anew.
 KEPT = 800_000
+#: Characters of the longest chunk that is kept.
+LONGEST = 200
 #: Characters whose classes are the same in every Unicode version and library, and which lower-case one by one.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]*")
 #: The split patterns of the two files, for plain characters.
@@ -40,6 +42,17 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
+def letters(part: str) -> str:
+    """A pre-token as the vocabulary spells it: a letter for each of its UTF-8 bytes."""
+    if part.isascii() and part.isprintable():
+        return part.replace(" ", BYTE_LETTERS[32])
+    return part.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+class Whole(str):
+    """A text for the library as a whole, as an added token stands in it."""
+
+
 class Encoder(dict):
     """A pre-token's code by the pre-token; ``flat[at[code] : at[code + 1]]`` are its ids.
 
@@ -56,7 +69,9 @@ class Encoder(dict):
         self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values()) if added else ()
         self.lowers = self.tokenizer.normalizer is not None
         self.split = (SPLIT_LOWER if self.lowers else SPLIT_BYTES).findall
-        self.merge = self.tokenizer.model.tokenize
+        model = self.tokenizer.model
+        model._resize_cache(0)  # the table here is the cache; the library's own would only take each new pre-token once
+        self.merge = model.tokenize
         self.start_anew()
 
     def start_anew(self) -> None:
@@ -64,13 +79,15 @@ class Encoder(dict):
         self.flat, self.at = array("I"), array("q", [0])
 
     def __missing__(self, chunk: str) -> int:
-        if PLAIN.fullmatch(chunk) and not self.marked(chunk):
+        if type(chunk) is str and PLAIN.fullmatch(chunk):
             for part in self.split(chunk.lower() if self.lowers else chunk):
-                self.flat.extend([x.id for x in self.merge(part.encode().decode("latin-1").translate(BYTE_LETTERS))])
+                self.flat.extend([x.id for x in self.merge(letters(part))])
         else:
             self.flat.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         self.at.append(len(self.flat))
-        self[chunk] = code = len(self.at) - 2
+        code = len(self.at) - 2
+        if len(chunk) <= LONGEST:
+            self[chunk] = code
         return code
 
     def marked(self, text: str) -> bool:
@@ -79,7 +96,7 @@ class Encoder(dict):
     def cut(self, text: str) -> list[str]:
         """Pieces of the text, each of which may be encoded alone."""
         if self.marked(text):
-            return [text]
+            return [Whole(text)]
         if PLAIN.fullmatch(text):
             return self.split(text.lower() if self.lowers else text)
         if self.lowers:
@@ -91,7 +108,7 @@ class Encoder(dict):
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts, ``end`` after each, and where each text begins, with the total at last."""
-        if len(self) > KEPT:
+        if len(self.at) > KEPT:
             self.start_anew()
         codes = [np.fromiter(map(self.__getitem__, own), np.int64, len(own)) for own in map(self.cut, texts)]
         flat, at = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.frombuffer(self.at, np.int64)

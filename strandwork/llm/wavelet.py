@@ -38,7 +38,7 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null_docs:
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     ones_before, ends, blocks, zeros, done = [], [], [], [], 0
     for b in range(bits - 1, -1, -1):
-        one = (now >> b & 1).astype(bool)
+        one = (now & now.dtype.type(1 << b)) != 0
         packed = np.packbits(one, bitorder="little").tobytes()
         per_byte = np.bitwise_count(np.frombuffer(packed.ljust(-(-len(packed) // BLOCK) * BLOCK, b"\0"), np.uint8))
         counts = per_byte.reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
@@ -48,7 +48,7 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null_docs:
             blocks.append(squeeze(packed[at : at + BLOCK]))
             done += len(blocks[-1])
             ends.append(done)
-        now = np.concatenate([now[~one], now[one]])
+        now = np.concatenate([now[np.flatnonzero(~one)], now[np.flatnonzero(one)]])
     header = json.dumps({"n": n, "bits": bits, "docs": len(doc_ids), "zeros": zeros, "null_docs": list(null_docs)}).encode()
     index = [np.concatenate(ones_before) if n else np.zeros(0), np.array(ends)]
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *(np.asarray(x).astype("<i8").tobytes() for x in (doc_ids, lengths, *index)), *blocks])
