@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-import bisect
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of characters that are not ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about this many characters, so that a batch of long texts stays small.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+
+
+T = TypeVar("T")
+_kept: dict[tuple, object] = {}
+
+
+def worker_table(key: tuple, make: Callable[[], T]) -> T:
+    """The table that a worker keeps under ``key`` from batch to batch; it keeps one, so a worker that goes on to another operator gives back the memory of the last."""
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+        _kept[key] = make()
+    return _kept[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, else ValueError."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandwork-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -80,11 +100,6 @@ def boundaries(df: DataFrame, key: list[str], blocks: int, over: int = 32, most:
     return keys[step::step][: blocks - 1]
 
 
-def block_of(bounds: list, key: object) -> int:
-    """The block of a key: how many boundaries are not above it; a null key is in block 0."""
-    return 0 if key is None else bisect.bisect_right(bounds, key)
-
-
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A public vocabulary file: in ``folder``, or where the installed ``public_tokenizers`` keeps it."""
     if folder:

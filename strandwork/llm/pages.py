@@ -1,16 +1,18 @@
 """Main text of web pages, by differencing pages of neighbouring addresses.
 
 A page is read as lines: the text of each block element, with the place of the block in the page's
-structure. Pages of a host are sorted by path; each is paired with its neighbour, their lines are
-aligned by longest common subsequence, and the lines that both share are deleted, as a site's own.
-Structure corrects what differencing alone gets wrong: lines in navigation, forms, comments, adverts
-and the like go even if no neighbour shares them, and lines inside an article (or main) element stay
-even if a neighbour quotes the same passage or is a copy of the page.
+structure. Pages of a host are sorted by path, and every page is paired with its nearest ones, up to
+NEAR before and NEAR after it; their lines are aligned by longest common subsequence, and lines that a
+neighbour shares are deleted, as a site's own. A neighbour whose own lines are all the page's is a copy
+of it, no page of one template, and is passed over. Structure corrects what differencing alone gets
+wrong: a line inside an article or main element may be a passage that pages quote, so it stays; and
+lines in navigation, forms, comments, adverts and the like go even if no neighbour shares them.
 """
 
 from __future__ import annotations
 
 import bisect
+import collections
 import html
 import re
 from collections.abc import Iterator
@@ -48,26 +50,40 @@ TITLES = {"header"}
 CONTENT_WORDS = {"article", "articlebody", "content", "entry", "main", "post", "story"}
 #: Places of a line: boilerplate, the bare page, a block called content, main, article.
 BOILER, BARE, CALLED, MAIN, ARTICLE = range(5)
-#: Two pages are copies, not pages of one template, if they share so much of the text outside boilerplate.
-COPY = 0.8
+#: Words that may stand beside one of DROP_WORDS in a class or id; beside any other word, it names something else.
+NEUTRAL_WORDS = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "footer", "form", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer",
+    "page", "panel", "primary", "right", "secondary", "section", "site", "text", "thread", "top", "wrap", "wrapper",
+}
+#: Pages before and after a page that it is compared with.
+NEAR = 4
+
+
+def named(value: str, words: set[str]) -> bool:
+    """Whether a class or id has a name made of one of ``words``, and of nothing else but neutral words."""
+    for name in re.findall(r"[^\s]+", value):
+        parts = {x.lower() for x in re.findall(r"[a-z]+|[A-Z][a-z]*|[A-Z]+", name)}
+        if parts & words and parts <= words | NEUTRAL_WORDS:
+            return True
+    return False
 
 
 def place_of(tag: str, attributes: str, place: int) -> int:
     """The place of an element's text, given that of the element around it."""
     if place == BOILER:
         return BOILER
-    words, role, hidden = set(), "", False
+    drop = DROP_WORDS - TITLES if place >= CALLED else DROP_WORDS
+    role, hidden, bad, words = "", False, False, set()
     if attributes.strip() and tag not in ("html", "body"):
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id", "itemprop"):
+                bad |= named(value, drop)
                 words |= set(re.findall(r"[a-z]+", value.lower()))
             elif name == "role":
                 role = value.lower()
             hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower())
-    inside = place >= CALLED
-    bad = words & DROP_WORDS - (TITLES if inside else set())
-    if hidden or role in DROP_ROLES or bad or (tag in DROP_TAGS and not (inside and tag in TITLES)):
+    if hidden or role in DROP_ROLES or bad or (tag in DROP_TAGS and not (place >= CALLED and tag in TITLES)):
         return BOILER
     if tag == "article" or "articlebody" in words:
         return ARTICLE
@@ -97,7 +113,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             if stack[i][0] in stoppers:
                 return
 
-    at = 0
+    at, endless = 0, set()
     while m := TAG.search(page, at):
         if m.start() > at:
             held.append(page[at : m.start()])
@@ -117,7 +133,10 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if name in VOID:
             continue
         if name in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            # once an element's end is not found, no later one of its name has an end either
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if not end:
+                endless.add(name)
             if end or name in ("script", "style", "textarea", "title"):
                 at = end.end() if end else len(page)
             continue
@@ -180,27 +199,61 @@ def address(url: str | None) -> tuple[str, str]:
         return "", ""
 
 
-def kept(own: list[tuple[str, int]], keys: list[int], others: list[list[int]]) -> str:
-    """The main text of a page, given its lines and those of its neighbours, the nearest first."""
-    best = max((p for _, p in own), default=BOILER)
-    if best < MAIN:
-        for other in others:
-            shared = common_lines(keys, other)
-            text = sum(len(t) for t, p in own if p > BOILER)
-            if sum(len(own[i][0]) for i in shared if own[i][1] > BOILER) < COPY * text:
-                own = [x for i, x in enumerate(own) if i not in shared]
-                best = max((p for _, p in own), default=BOILER)
-                break
-    return "\n".join(t for t, p in own if p == best > BOILER)
+Line = tuple[str, int]
+
+
+def own_keys(own: list[Line], keys: list[int]) -> set[int]:
+    """A page's lines outside boilerplate."""
+    return {k for (_, p), k in zip(own, keys, strict=True) if p > BOILER}
+
+
+def kept(own: list[Line], keys: list[int], others: list[tuple[list[Line], list[int]]]) -> tuple[str, int]:
+    """The main text of a page, given its lines and those of its neighbours, the nearest first; and how many lines differencing deleted."""
+    mine = own_keys(own, keys)
+    shared: set[int] = set()
+    for lines_, other in others:
+        theirs = own_keys(lines_, other)
+        if mine <= theirs or theirs <= mine and theirs:
+            continue  # a copy, of the whole page or of a part
+        shared |= common_lines(keys, other)
+    gone = {i for i in shared if own[i][1] < MAIN}
+    rest = [x for i, x in enumerate(own) if i not in gone]
+    # the bare page counts only where nothing is called content
+    least = CALLED if any(p >= CALLED for _, p in rest) else BARE
+    return "\n".join(t for t, p in rest if p >= least), len(gone)
+
+
+def edges(names: DataFrame, bounds: list[tuple]) -> list[tuple[list[tuple], list[tuple]]]:
+    """The NEAR first and the NEAR last distinct keys (host, path, key) of each range between ``bounds``; a task passes on no more of a range than these."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, set[tuple]] = collections.defaultdict(set)
+        for batch in batches:
+            for key in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "key")), strict=True):
+                own = found[bisect.bisect_right(bounds, key)]
+                own.add(key)
+                if len(own) > 64:
+                    held = sorted(own)
+                    own -= set(held[NEAR:-NEAR])
+        rows = [(b, *key) for b, own in found.items() for key in {*sorted(own)[:NEAR], *sorted(own)[-NEAR:]}]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["block", "host", "path", "key"])
+
+    out = [([], []) for _ in range(len(bounds) + 1)]
+    key = F.struct("host", "path", "key")
+    lists = names.mapInArrow(some, "block int, host string, path string, key long").distinct().groupBy("block").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    for r in lists.select("block", F.slice("keys", 1, NEAR).alias("first"), F.expr(f"slice(keys, -least({NEAR}, size(keys)), {NEAR})").alias("last")).collect():
+        out[r["block"]] = ([tuple(x) for x in r["first"]], [tuple(x) for x in r["last"]])
+    return out
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_chars (code points) and n_shared (lines that differencing deleted) of every row of ``pages`` (page_id, url, html).
 
     Null and empty pages, and pages of boilerplate only, have an empty text. Pages without a host are
-    neighbours of one another. Of pages that repeat an address, the order is by page_id, null first.
-    The host with most pages is dealt over as many tasks as its share asks for: tasks take ranges of
-    (host, path, page_id), and the first page of a range also follows the last of the range before.
+    neighbours of one another. Of pages that repeat an address, the order is by page_id, null first,
+    then by content. Hosts of any size are dealt over tasks: a task takes a range of (host, path,
+    page_id) and also gets the NEAR pages before and after it, so the text doesn't depend on the
+    ranges. Other columns are ignored; a page of any length is one row, read in one pass.
     """
     spark = pages.sparkSession
     n = common.shuffle_partitions(spark)
@@ -211,53 +264,70 @@ def main_text(pages: DataFrame) -> DataFrame:
             found = [address(u) for u in batch.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), batch.column("page_id").fill_null(-(1 << 63))], names=["host", "path", "key"])
 
-    names = pages.select("url", "page_id").mapInArrow(read_address, "host string, path string, key long")
+    names = common.checkpointed(pages.select("url", "page_id").mapInArrow(read_address, "host string, path string, key long"))
     bounds = common.boundaries(names, ["host", "path", "key"], n)
-    hosts = sorted({b[0] for b in bounds})
-    if hosts:  # the last page of a host needs the one before it, so no range begins there
-        last = names.filter(F.col("host").isin(hosts)).groupBy("host").agg(F.max(F.struct("path", "key")).alias("m")).collect()
-        ends = {(r["host"], r["m"]["path"], r["m"]["key"]) for r in last}
-        bounds = [b for b in bounds if b not in ends]
-    starts = set(bounds)
-    row = "block int, ahead boolean, host string, path string, key long, page_id long, url string, lines array<string>, places array<int>, keys array<long>"
+    ends = edges(names, bounds)
+    # to which ranges besides its own a key goes: as one of the NEAR after a range, or before it
+    also: dict[tuple, list[int]] = collections.defaultdict(list)
+    for b in range(len(ends)):
+        after = [k for first, _ in ends[b + 1 : b + 1 + NEAR] for k in first][:NEAR]
+        before = [k for _, last in ends[max(0, b - NEAR) : b] for k in last][-NEAR:]
+        for k in {*after, *before}:
+            also[k].append(b)
+    row = "block int, guest boolean, host string, path string, key long, tie long, page_id long, url string, lines array<string>, places array<int>, keys array<long>"
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
             found = lines(page)
             key = (*address(url), -(1 << 63) if page_id is None else page_id)
-            block = bisect.bisect_right(bounds, key)
-            rest = (*key, page_id, url, [t for t, _ in found], [p for _, p in found], [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
-            out.append((block, False, *rest))
-            if key in starts:
-                out.append((block - 1, True, *rest))
-        kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            tie = xxhash.xxh3_64_intdigest((page or "").encode()) - (1 << 63)
+            rest = (*key, tie, page_id, url, [t for t, _ in found], [p for _, p in found], [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
+            out.append((bisect.bisect_right(bounds, key), False, *rest))
+            out += [(b, True, *rest) for b in also.get(key, ())]
+        kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), *[pa.int64()] * 3, pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in row.split(", ")])
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = now = None
+        window: collections.deque[dict] = collections.deque()  # up to NEAR pages before the next one to be done, and those after it
+        done = 0  # pages of the window that are done
 
-        def text(nxt: dict | None) -> tuple | None:
-            if now is None or now["ahead"]:
+        def text() -> tuple | None:
+            now = window[done]
+            if now["guest"]:
                 return None
-            near = [x["keys"] for x in (nxt, before) if x is not None and (x["block"], x["host"]) == (now["block"], now["host"])]
-            found = kept(list(zip(now["lines"], now["places"], strict=True)), now["keys"], near)
-            return now["page_id"], now["url"], found, len(found)
+            near = []
+            for k in range(1, NEAR + 1):
+                for at in (done + k, done - k):
+                    if 0 <= at < len(window) and (window[at]["block"], window[at]["host"]) == (now["block"], now["host"]):
+                        near.append((window[at]["own"], window[at]["keys"]))
+            found, n_shared = kept(now["own"], now["keys"], near)
+            return now["page_id"], now["url"], found, len(found), n_shared
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "text", "n_chars", "n_shared"])
 
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                nxt = batch.slice(i, 1).to_pylist()[0]
-                rows.append(text(nxt))
-                before, now = now, nxt
+                page = batch.slice(i, 1).to_pylist()[0]
+                page["own"] = list(zip(page["lines"], page["places"], strict=True))
+                window.append(page)
+                if len(window) - done > NEAR:
+                    rows.append(text())
+                    done += 1
+                    if done > NEAR:
+                        window.popleft()
+                        done -= 1
             if rows := [r for r in rows if r]:
                 yield out(rows)
-        if last := text(None):
-            yield out([last])
+        rows = []
+        while done < len(window):
+            rows.append(text())
+            done += 1
+        if rows := [r for r in rows if r]:
+            yield out(rows)
 
     dealt = common.map_texts(pages, ["page_id", "url", "html"], "html", read, row).repartitionById(n, F.col("block"))
-    return dealt.sortWithinPartitions("block", "host", "path", "key", "ahead").mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    return dealt.sortWithinPartitions("block", "host", "path", "key", "tie").mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_shared long")
