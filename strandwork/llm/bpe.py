@@ -7,13 +7,14 @@ Pre-tokens and chunks repeat; their ids are kept in a bounded table.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
 
 import numpy as np
 
+from . import common
+
 #: Pre-tokens kept in a worker before the table starts anew.
 KEPT = 800_000
 #: Characters of the longest chunk that is kept.
@@ -124,7 +125,6 @@ class Encoder(dict):
         return out, starts
 
 
-@functools.lru_cache(2)
 def encoder(path: str, added: bool = False) -> Encoder:
-    """One encoder for each file in a worker."""
-    return Encoder(path, added)
+    """The worker's encoder."""
+    return common.worker_table(("bpe", path, added), lambda: Encoder(path, added))

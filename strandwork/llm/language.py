@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ SIZES, BUCKETS, SMOOTH = (2, 3, 4), 1 << 16, 0.5
 WEIGHT, SWITCH, LEAST_SHARE = 0.5, 6.0, 0.001
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+#: Distinct words that are scored at once, times languages.
+CELLS = 80_000
 #: The first code points of Unicode ranges of scripts.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -64,9 +65,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    #: Log probabilities of buckets by language, and which languages each script allows.
+    #: Log probabilities of buckets by language, which languages each script allows (all, if no text showed it), and whether a text showed it.
     table: np.ndarray
     allowed: np.ndarray
+    shown: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -105,7 +107,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     grams, scripts = sums[:BUCKETS] + SMOOTH, sums[BUCKETS:]
     table = np.log(grams / grams.sum(axis=0)) if languages else grams
     allowed = (scripts > 0) & (scripts >= LEAST_SHARE * scripts.sum(axis=0))
-    return Model(languages, table.astype(np.float32), allowed)
+    shown = allowed.any(axis=1)
+    return Model(languages, table.astype(np.float32), allowed | ~shown[:, None], shown)
 
 
 class Scores(dict):
@@ -115,33 +118,30 @@ class Scores(dict):
 
     def __init__(self, model: Model) -> None:
         self.model, self.rows = model, np.zeros((0, len(model.languages)), np.float32)
-        self.known = np.zeros(0, bool)
+        self.known, self.letters = np.zeros(0, bool), np.zeros(0, np.int64)
 
     def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self) > self.MOST:
             self.clear()
             self.__init__(self.model)
         new = list(set().union(*texts).difference(self))
-        if new:
-            bucket, n, script = features(new)
+        step = max(1, CELLS // max(1, len(self.model.languages)))
+        for words in (new[i : i + step] for i in range(0, len(new), step)):
+            bucket, n, script = features(words)
             sums = np.add.reduceat(self.model.table[bucket], np.cumsum(n) - n, axis=0) * np.float32(WEIGHT)
             ok = self.model.allowed[script]
             sums = np.where(ok, sums - sums.max(axis=1, where=ok, initial=-1e9, keepdims=True), self.FAR)
-            self.known = np.concatenate([self.known, ok.any(axis=1)])
-            sums[~ok.any(axis=1)] = 0
-            self.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            # numerals such as ² stand in words, too; a word of them alone has no letter and counts for nothing
+            letters = np.fromiter((sum(map(str.isalpha, w)) for w in words), np.int64, len(words))
+            self.letters = np.concatenate([self.letters, letters])
+            self.known = np.concatenate([self.known, self.model.shown[script] & (letters > 0)])
+            self.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
             self.rows = np.concatenate([self.rows, sums])
         return [np.fromiter(map(self.__getitem__, own), np.int64, len(own)) for own in texts]
 
 
-_scores: dict[str, Scores] = {}
-
-
 def scores_of(model: Model) -> Scores:
-    if model.key not in _scores:
-        _scores.clear()
-        _scores[model.key] = Scores(model)
-    return _scores[model.key]
+    return common.worker_table(("language", model.key), lambda: Scores(model))
 
 
 def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -184,21 +184,27 @@ def judged(model: Model, raw: list[str | None], places: list[list[tuple[int, int
     code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
     path = viterbi(table.rows[code], sizes)
     known = table.known[code] if len(code) else np.zeros(0, bool)
-    letters = np.fromiter((len(w) for own in texts for w in own), np.int64, len(code))
+    letters = table.letters[code] if len(code) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    sums = np.bincount(doc[known] * max(1, kinds) + path[known], letters[known], len(texts) * max(1, kinds)).reshape(len(texts), -1)
-    total, win = np.bincount(doc, letters, len(texts)), sums.argmax(axis=1)
-    most = sums[np.arange(len(texts)), win]
+    weigh = lambda which, w: np.bincount(doc[which] * max(1, kinds) + path[which], w, len(texts) * max(1, kinds)).reshape(len(texts), -1)
+    sums = weigh(known, letters[known])
+    total, most = np.bincount(doc, letters, len(texts)), sums.max(axis=1)
+    # only a text without a letter in any script that was learned is judged by its other letters, and gets no score
+    win = np.where(most > 0, sums.argmax(axis=1), weigh(~known, letters[~known]).argmax(axis=1))
     names = np.array([*model.languages, UNKNOWN], object)
-    return names[np.where(most > 0, win, kinds)], most / np.maximum(total, 1), path, known
+    return names[np.where((total > 0) & (kinds > 0), win, kinds)], most / np.maximum(total, 1), path, known
 
 
 def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """``docs``'s doc_id and text's language: (doc_id, lang_pred, score), with ``spans`` also the labelled spans.
 
-    ``score`` is the share of the text's letters in spans of that language. Null texts, texts without
-    letters and texts in scripts that no labelled text showed are ``und`` with score 0. Of equal
-    shares, the first language by name wins. A span is (lang, begin, end) in code points.
+    ``score`` is the share of the text's letters in spans of that language. Null texts and texts without
+    letters are ``und`` with score 0; so is every text if no language was learned. Words in a script
+    that no labelled text showed may be of any language and give no score: their span's lang is
+    ``und``, but a text of such words alone gets the language that its letters are likest to. Of equal
+    shares, the first language by name wins. A span is (lang, begin, end) in code points. A batch of
+    texts is worked on some millions of characters at a time; a single longer text as a whole, for
+    about 6 bytes for each word and language.
     """
     shape = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,begin:int,end:int>>" * spans
 
@@ -232,19 +238,20 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def filter_docs(docs: DataFrame, least: float) -> DataFrame:
-    """The documents with a known language that has a share of ``least`` of their letters, with all their columns.
+    """The documents with a learned language that has a share of ``least`` of their letters, with all their columns.
 
-    Each row is judged by its own text, so rows that repeat an id may fare differently.
+    Null texts and those without letters go. Each row is judged by its own text, so rows that repeat an
+    id may fare differently. Texts are worked on some millions of characters at a time.
     """
     model = fit(docs)
     languages = frozenset(model.languages)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
         found = []
-        for begin in range(0, len(texts), 1000):
-            names, share = judged(model, texts.iloc[begin : begin + 1000].tolist())[:2]
+        for part in common.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            names, share = judged(model, part.column("text").to_pylist())[:2]
             found += [n in languages and s >= least for n, s in zip(names, share, strict=True)]
-        return pd.Series(found, dtype=bool)
+        return pa.array(found, pa.bool_())
 
     return docs.filter(known("text"))

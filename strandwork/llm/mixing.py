@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of slots of one word each, as many for a source as its target has words. Slots are
-ordered by their van der Corput points; each source has a stretch of that order, and a slot takes the
-next word of its source: its documents, shuffled, are one row of words, gone through again from the
-start when it runs out. The sources' shares are then right to a few words in every stretch of the mix,
-and to the word at its end.
+The mix is a row of slots, blocks of equally many words. Slots are ordered by their van der Corput
+points, and each source has a stretch of that order, as long as its share of the cumulative slots; so
+every stretch of the mix has the sources' shares, to a few blocks. A source's documents, shuffled, are
+one row of words, gone through again from the start when it runs out, until its target is met to the
+word; its k-th block of words goes to the k-th of its slots. A document stays whole: it stands in the
+slot where it begins. Slots are counted, not made: the k-th slot of a source is found by bisection.
 """
 
 from __future__ import annotations
@@ -12,103 +13,172 @@ from __future__ import annotations
 import bisect
 import itertools
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, ranks
 
-#: Weights of the sources in code point order, null last, again and again; words of the mix for each word of the input.
+#: Weights of the sources in code point order, null last, again and again; words of the mix for each word of the input; a target's most for each word of its source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Bits of a slot's van der Corput point.
-POINT_BITS = 40
+#: Words of a slot. It decides how finely sources alternate, and not how much is taken of any document.
+BLOCK = 1024
+#: The driver and each task hold a row for each source; more than this raise ValueError.
+MOST_SOURCES = 10_000
 SEED = 6
 SIZE = r"cast(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) as long)"
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Words to take of each source: ``share`` of all, by weight, a source's excess over ``most`` times its size going to the rest."""
-    left, free, out = share * sum(sizes), list(range(len(sizes))), [0.0] * len(sizes)
-    while free:
-        total = sum(weights[i] for i in free)
-        for i in free:
-            out[i] = left * weights[i] / total
-        over = [i for i in free if out[i] > most * sizes[i]]
-        if not over:
+    """Words to take of each source: ``share`` of all, by weight, a source's excess over ``most`` times its size going to the rest.
+
+    Sources are filled in the order in which they reach their limits, so each is looked at once.
+    """
+    left, total, out = share * sum(sizes), sum(weights), [0.0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
+    for at, i in enumerate(order):
+        if left * weights[i] <= most * sizes[i] * total:
+            for j in order[at:]:
+                out[j] = left * weights[j] / total
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        free = [i for i in free if i not in over]
+        out[i] = float(most * sizes[i])
+        left, total = left - out[i], total - weights[i]
     return out
 
 
-def slots_below(slots: int, limit: int) -> int:
-    """How many of the slots 0, 1, ... have a van der Corput point below ``limit`` / 2^POINT_BITS."""
-    found = 0
-    for bit in range(POINT_BITS):  # points that leave the limit's leading bits at this one
-        if limit >> (POINT_BITS - 1 - bit) & 1:
-            rest = int(f"{limit >> (POINT_BITS - bit):b}".zfill(bit)[::-1], 2) if bit else 0
-            found += max(0, -(-(slots - rest) // (2 << bit)))
-    return found
-
-
-def source_at(slot: int, counts: list[int]) -> int:
-    """The source of a slot: the one whose part of the cumulative ``counts`` has the rank of the slot's point among all slots'."""
-    point = int(f"{slot:0{POINT_BITS}b}"[::-1], 2)
-    return bisect.bisect_right(list(itertools.accumulate(counts)), slots_below(sum(counts), point))
-
-
-def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """For every row of ``docs`` (doc_id, text, source): doc_id, hash (of the text), size, source_size, target and taken.
-
-    Sizes are words; a null text has none. ``taken`` counts the words of the document in all its
-    source's slots. Those are the target to the nearest word, at most ``most`` times the size, and are
-    counted without being made, so nothing depends on the size of the input. The order of a source's
-    documents is that of a hash of doc_id and SEED, so reruns agree. The driver holds a row for each
-    source. An empty table gives no row; a source without words a target of 0.
+def shuffled(doc_id: Column) -> Column:
+    """The order of a source's documents: 60 bits of an md5 of SEED and the id, spread over all 64-bit integers."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    return F.shiftleft(bits - F.lit(1 << 59), 4)
+
+
+class Slots:
+    """The slots of sources that have ``counts`` of them: which source a slot has, and where a source's k-th slot is."""
+
+    def __init__(self, counts: list[int]) -> None:
+        self.ends = list(itertools.accumulate(counts))
+        self.n = self.ends[-1] if counts else 0
+        self.bits = max(1, (self.n - 1).bit_length())
+        # a source's points are those from the limit below which lie the slots before it
+        limits = np.array([self._limit(rank) for rank in [0, *self.ends]], np.int64)
+        self.set, self.rest = self._parts(limits)
+
+    def _parts(self, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each leading bit j of a limit: whether it is set, and the slot that agrees with the limit in the bits above and has none at j."""
+        put, rest, above = [], [], np.zeros(len(limits), np.int64)
+        for j in range(self.bits):
+            bit = limits >> (self.bits - 1 - j) & 1
+            put.append(bit | (limits >> self.bits if j == 0 else 0))
+            rest.append(above.copy())
+            above |= bit << j
+        return np.array(put) > 0, np.array(rest)
+
+    def _below(self, slots: np.ndarray, put: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """How many of the slots 0, 1, ... up to ``slots`` have points below limits."""
+        out = np.zeros(np.shape(slots), np.int64)
+        for j in range(self.bits):
+            out += np.where(put[j], np.maximum(0, (slots - rest[j] + (2 << j) - 1) >> (j + 1)), 0)
+        return out
+
+    def _limit(self, rank: int) -> int:
+        """The smallest limit that so many of all slots' points lie below."""
+        low, high = 0, 1 << self.bits
+        while low < high:
+            mid = (low + high) // 2
+            found = self.n if mid >> self.bits else int(self._below(np.array([self.n]), *self._parts(np.array([mid])))[0])
+            low, high = (low, mid) if found >= rank else (mid + 1, high)
+        return low
+
+    def source(self, slot: int) -> int:
+        point = int(f"{slot:0{self.bits}b}"[::-1], 2)
+        rank = int(self._below(np.array([self.n]), *self._parts(np.array([point])))[0])
+        return bisect.bisect_right(self.ends, rank)
+
+    def place(self, source: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The slot of each source's k-th block."""
+        low, high = np.zeros(len(k), np.int64), np.full(len(k), max(0, self.n - 1), np.int64)
+        begin, end = (self.set[:, source], self.rest[:, source]), (self.set[:, source + 1], self.rest[:, source + 1])
+        last = np.array([*self.ends])[source] >= self.n  # all points lie below a limit above all
+        while (low < high).any():
+            mid = (low + high) // 2
+            upto = np.where(last, mid + 1, self._below(mid + 1, *end))
+            enough = upto - self._below(mid + 1, *begin) > k
+            low, high = np.where(enough, low, mid + 1), np.where(enough, mid, high)
+        return low
+
+
+def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """For every row of ``docs`` (doc_id, text, source): doc_id, hash (of the text), source, size, source_size, target, taken and starts.
+
+    Sizes are words; a null text has none. ``taken`` counts the words of the document that the mix
+    takes, repeats counted: a source gets its target to the nearest word, a document at most ``most``
+    times its size. ``starts`` has (words, slot, offset) for each time that the document is taken: how
+    many of its first words, the slot that the first stands in, and how many words of the slot are
+    before it. A source's documents are in the order of a hash of doc_id and SEED, so reruns agree. An
+    empty table gives no row; a source without words a target of 0. A text of any length is only counted.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.expr(SIZE).alias("size"), F.xxhash64("text").alias("hash"))
     rows = common.checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    found = {r["source"]: (r["n"], r["size"]) for r in rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    sources = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    found = {r["source"]: (r["n"], r["size"]) for r in sources}
     names = sorted(found, key=lambda x: (x is None, x or ""))
     sizes = [found[x][1] for x in names]
     aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(names))], share, most)
-    counts = [min(most * n, round(t)) for n, t in zip(sizes, aims, strict=True)]
-    table = spark.createDataFrame([(i, x, n, float(t), c) for i, (x, n, t, c) in enumerate(zip(names, sizes, aims, counts, strict=True))], "s int, source string, source_size long, target double, slots long")
-    # one row for each source, as the driver holds them
-    rows = rows.join(F.broadcast(table.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    words = [min(most * n, round(t)) for n, t in zip(sizes, aims, strict=True)]
+    slots = Slots([-(-w // block) for w in words])
+    table = spark.createDataFrame([(i, x, n, float(t), w) for i, (x, n, t, w) in enumerate(zip(names, sizes, aims, words, strict=True))], "s int, name string, source_size long, target double, words long")
+    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")  # MOST_SOURCES rows at most
+
+    placed = ranks.before(rows.withColumn("mixed", shuffled(F.col("doc_id"))), ["s"], "mixed", ["doc_id", "hash", "row"], {"begin": F.col("size")}, sum(x[0] for x in found.values()))
+    # each round through the source's words that still reaches the document, and how many of its words it takes
+    rounds = "if(size > 0 and begin < words, sequence(0L, (words - begin - 1) div source_size), cast(array() as array<long>))"
+    times = placed.withColumn("times", F.expr(f"transform({rounds}, r -> named_struct('at', begin + r * source_size, 'words', least(size, words - begin - r * source_size)))"))
+
+    @F.arrow_udf("array<long>")
+    def slots_of(s: pa.Array, at: pa.Array) -> pa.Array:
+        n = at.value_lengths().to_numpy(zero_copy_only=False)
+        k = at.flatten().to_numpy(zero_copy_only=False) // block
+        found = slots.place(np.repeat(s.to_numpy(zero_copy_only=False).astype(np.int64), n), k)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(found, pa.int64()))
 
-    n = sum(x[0] for x in found.values())
-    placed = ranks.before(rows.withColumn("mixed", F.xxhash64("doc_id", F.lit(SEED))), ["s"], "mixed", ["doc_id", "row"], {"begin": F.col("size")}, n)
-    # the whole rounds through the source's words, and what the last one reaches
-    rounds, last = F.expr("slots div greatest(source_size, 1)"), F.expr("slots % greatest(source_size, 1)")
-    taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least("size", last - F.col("begin")))
-    return placed.select("doc_id", "hash", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    out = times.withColumn("slots", slots_of("s", F.transform("times", lambda x: x["at"])))
+    starts = F.expr(f"transform(times, (x, i) -> named_struct('words', x.words, 'slot', slots[i], 'offset', x.at % {block}))")
+    taken = F.expr("aggregate(times, 0L, (a, x) -> a + x.words)")
+    return out.select("doc_id", "hash", "source", "size", "source_size", "target", taken.alias("taken"), starts.alias("starts"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
-    return schedule(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns; slot and offset are those of the first time that a document is taken, null if it isn't."""
+    first = F.get("starts", F.lit(0))
+    return schedule(docs).select("doc_id", "size", "source_size", "target", "taken", first["slot"].alias("slot"), first["offset"].alias("offset"))
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``: each as often as it is taken whole, and the words of it taken once more as a text.
+    """The documents of the mix in its order, with the columns of ``docs`` whatever their names: a row for each time that a document is taken.
 
-    Blocks of a source are taken in order, so the words taken once more are the first ones of a
-    document; ``n_chars``, if there, is set to that text's length. Rows of equal doc_id and text share
-    what is taken of them evenly.
+    Rows are sorted by slot over the whole result, so files written from it are the mix in order. The
+    last document of a source may be cut to its first words; ``n_chars``, if there, is then set to that
+    text's length. Rows of equal doc_id, text and source share their times one by one; documents
+    without words are never taken. An empty table gives no row.
     """
-    found = schedule(docs, **options).groupBy("doc_id", "hash").agg((F.sum("taken") / F.count("*")).cast("long").alias("_taken"), F.max("size").alias("_size"))
-    found = found.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"}).filter("_taken > 0")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = docs.join(found, same)
-    copies = F.array_repeat(F.lit(None).cast("long"), F.expr("cast(_taken div _size as int)"))
-    rest = F.when(F.expr("_taken % _size > 0"), F.array(F.expr("_taken % _size"))).otherwise(F.array().cast("array<long>"))
-    out = joined.withColumn("_words", F.explode(F.concat(copies, rest)))
+    found = schedule(docs, **options).filter("taken > 0")
+    key = [F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), F.col("source").alias("k_source")]
+    numbered = lambda df: df.withColumn("k_copy", F.row_number().over(Window.partitionBy("k_id", "k_hash", "k_source").orderBy(F.lit(1))))
+    times = numbered(found.select(*key, "size", "starts"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_hash"), F.col("source").alias("k_source"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("k_id", "k_hash", "k_source", "k_copy")]
+    joined = numbered(own).alias("l").join(times.alias("r"), same[0] & same[1] & same[2] & same[3])
+    out = joined.select("l.doc", "r.size", F.explode("r.starts").alias("x"))
     # pieces of the text that end with a word each keep its spacing
-    cut = F.expr(r"array_join(slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(_words as int)), '')")
-    out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(cut))
+    cut = F.expr(r"array_join(slice(split(doc.text, '(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])'), 1, cast(x.words as int)), '')")
+    whole = F.col("x.words") == F.col("size")
+    out = out.withColumn("doc", F.when(whole, F.col("doc")).otherwise(F.col("doc").withField("text", cut)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        length = F.length(F.col("doc.text")).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("doc", F.when(whole, F.col("doc")).otherwise(F.col("doc").withField("n_chars", length)))
+    ordered = out.repartitionByRange("x.slot", "x.offset", "doc.doc_id").sortWithinPartitions("x.slot", "x.offset", "doc.doc_id")
+    return ordered.select("doc.*")

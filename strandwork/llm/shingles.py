@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import xxhash
 
+from . import common
+
 #: Distinct words kept in a worker before the table starts anew.
 KEPT_WORDS = 300_000
 #: Odd multipliers of the places in a shingle.
@@ -21,9 +21,8 @@ class WordHashes(dict):
         return found
 
 
-@functools.lru_cache(1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return common.worker_table(("word hashes",), WordHashes)
 
 
 def words_of(text: str | None) -> list[bytes]:

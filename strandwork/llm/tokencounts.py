@@ -8,7 +8,7 @@ what its last node holds. The trie of a worker is bounded, and starts anew when
 
 from __future__ import annotations
 
-import functools
+import collections
 import math
 
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Nodes and words that a worker keeps before its trie starts anew; characters of the longest piece that is tried.
-KEPT_NODES, KEPT_WORDS, LONGEST = 1_000_000, 1_000_000, 16
+#: Nodes and words that a worker keeps before its trie starts anew; characters of the longest word that goes in the trie.
+KEPT_NODES, KEPT_WORDS, LONG_WORD = 1_000_000, 1_000_000, 256
 #: Log probability of each byte of a character that no piece has.
 BYTE_SCORE = -20.0
 
@@ -32,14 +32,14 @@ def pieces(path: str) -> dict[str, float]:
     kinds = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not any(kind(i) for kind in kinds)]
     total = math.log(sum(1 / r for r in range(1, len(names) + 1)))
-    return {name: -math.log(r) - total for r, name in enumerate(names, 1) if len(name) <= LONGEST}
+    return {name: -math.log(r) - total for r, name in enumerate(names, 1)}
 
 
 class Trie(dict):
     """A word's token count by the word (its UTF-8 bytes)."""
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.scores = scores
+        self.scores, self.longest = scores, max(map(len, scores), default=1)
         self.start_anew()
 
     def start_anew(self) -> None:
@@ -47,45 +47,57 @@ class Trie(dict):
         self.next: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
 
-    def node(self, parent: int, path: list[int], word: str, end: int) -> int:
-        """The new node of ``word[:end]``; ``path`` has the nodes of all shorter prefixes."""
+    def step(self, word: str, end: int, before: list[tuple[float, int]]) -> tuple[float, int]:
+        """The best score of ``word[:end]`` and its tokens; ``before`` has those of the prefixes that are shorter by 1, 2, ... as far as pieces reach."""
         size = len(word[end - 1].encode())
-        best, tokens = self.best[parent] + size * BYTE_SCORE, self.tokens[parent] + size
-        for begin in range(max(0, end - LONGEST), end):
-            score = self.scores.get(word[begin:end])
-            if score is not None:
-                at = path[begin]
-                found, count = self.best[at] + score, self.tokens[at] + 1
-                if found > best or (found == best and count < tokens):
-                    best, tokens = found, count
+        best, tokens = before[0][0] + size * BYTE_SCORE, before[0][1] + size
+        for back, (found, count) in enumerate(before, 1):
+            score = self.scores.get(word[end - back : end])
+            if score is not None and (found + score > best or (found + score == best and count + 1 < tokens)):
+                best, tokens = found + score, count + 1
+        return best, tokens
+
+    def node(self, path: list[int], word: str, end: int) -> int:
+        """The new node of ``word[:end]``; ``path`` has the nodes of all shorter prefixes."""
+        best, tokens = self.step(word, end, [(self.best[at], self.tokens[at]) for at in path[: -self.longest - 1 : -1]])
         self.best.append(best)
         self.tokens.append(tokens)
-        self.next[parent << 21 | ord(word[end - 1])] = made = len(self.best) - 1
+        self.next[path[-1] << 21 | ord(word[end - 1])] = made = len(self.best) - 1
         return made
 
+    def alone(self, word: str) -> int:
+        """The tokens of a word too long for the trie: the same steps, with as many prefixes kept as a piece is long."""
+        last = collections.deque([(0.0, 0)], self.longest)
+        for end in range(1, len(word) + 1):
+            last.appendleft(self.step(word, end, last))
+        return last[0][1]
+
     def __missing__(self, raw: bytes) -> int:
         if len(self.best) > KEPT_NODES or len(self) > KEPT_WORDS:
             self.start_anew()
         word, path = MARK + raw.decode(), [0]
+        if len(word) > LONG_WORD:
+            return self.alone(word)
         for end, c in enumerate(word, 1):
             at = path[-1]
             found = self.next.get(at << 21 | ord(c))
-            path.append(self.node(at, path, word, end) if found is None else found)
+            path.append(self.node(path, word, end) if found is None else found)
         self[raw] = count = self.tokens[path[-1]]
         return count
 
 
-@functools.lru_cache(1)
 def trie(path: str) -> Trie:
-    return Trie(pieces(path))
+    return common.worker_table(("trie", path), lambda: Trie(pieces(path)))
 
 
 def counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words and n_tokens of every row of ``docs`` (doc_id, text).
 
     Words are runs of characters that are no ASCII white space. A null text has none. Of segmentations
-    with the same score, one with fewest tokens counts. No shuffle, and no row needs another; a word
-    longer than the trie's bound fills it and is dropped with it.
+    with the same score, one with fewest tokens counts. The scores are Zipf's law over ranks, so counts
+    are no public tokenizer's. No shuffle, and no row needs another; a word longer than LONG_WORD is
+    segmented outside the trie, in memory that doesn't grow with it. Other columns are ignored; rows
+    that repeat stay; an empty table gives no row.
     """
     path = path or common.tokenizer_path("piece_bpe_32k.model")
 
