@@ -60,13 +60,21 @@ def net_charge(s: Column) -> Column:
     return count(s, "KR") + 0.1 * count(s, "H") - count(s, "DE")
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hydrophobic_moment(s: Column, window: int = 11) -> Column:
     """The largest moment of any window, 100 degrees between residues; 0 of an empty sequence."""
-    h = F.transform(residues(s), lambda c: scale(c, t.EISENBERG))
-    w = F.least(F.lit(window), F.length(s))
-    part = lambda start, f: F.aggregate(F.sequence(F.lit(0), w - 1), F.lit(0.0), lambda a, i: a + F.get(h, start + i) * f(i * TURN))
-    moment = lambda start: F.sqrt(part(start, F.cos) * part(start, F.cos) + part(start, F.sin) * part(start, F.sin)) / w
-    return F.when(F.length(s) > 0, F.array_max(F.transform(F.sequence(F.lit(0), F.length(s) - w), moment))).otherwise(0.0)
+    turns = {name: F.array(*[F.lit(f(i * TURN)) for i in range(window)]) for name, f in (("cos", math.cos), ("sin", math.sin))}
+
+    def largest(h: Column) -> Column:
+        w = F.least(F.lit(window), F.size(h))
+        part = lambda start, name: F.aggregate(F.zip_with(F.slice(h, start, w), F.slice(turns[name], F.lit(1), w), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.size(h) - w + 1), lambda i: F.hypot(part(i, "cos"), part(i, "sin")) / w))
+
+    return F.when(F.length(s) > 0, let(F.transform(residues(s), lambda c: scale(c, t.EISENBERG)), largest)).otherwise(0.0)
 
 
 def cysteine_class(s: Column) -> Column:
@@ -76,11 +84,9 @@ def cysteine_class(s: Column) -> Column:
 
 def fitness(s: Column) -> Column:
     """Length of the sum of turned hydrophobicities, residue i (from 1) by 100 i degrees, over the sum of exponentials."""
-    h = F.transform(residues(s), lambda c, i: F.struct(scale(c, t.FITNESS_H).alias("h"), ((i + 1) * TURN).alias("a")))
-    real = F.aggregate(h, F.lit(0.0), lambda a, x: a + x["h"] * F.cos(x["a"]))
-    imaginary = F.aggregate(h, F.lit(0.0), lambda a, x: a + x["h"] * F.sin(x["a"]))
-    below = F.aggregate(residues(s), F.lit(0.0), lambda a, c: a + F.exp(scale(c, t.FITNESS_HX)))
-    return F.when(F.length(s) > 0, F.hypot(real, imaginary) / below).otherwise(0.0)
+    value = lambda c, i: F.struct((scale(c, t.FITNESS_H) * F.cos((i + 1) * TURN)).alias("x"), (scale(c, t.FITNESS_H) * F.sin((i + 1) * TURN)).alias("y"), F.exp(scale(c, t.FITNESS_HX)).alias("z"))
+    total_ = lambda h, k: F.aggregate(h, F.lit(0.0), lambda a, v: a + v[k])
+    return F.when(F.length(s) > 0, let(F.transform(residues(s), value), lambda h: F.hypot(total_(h, "x"), total_(h, "y")) / total_(h, "z"))).otherwise(0.0)
 
 
 def kmers(s: Column, k: int = 3) -> Column:
@@ -119,24 +125,3 @@ def decoded(x: Column) -> Column:
 def compliance(s: Column) -> dict[str, Column]:
     u = F.upper(s)
     return {"standard_residues": u.rlike(VALID), "length_ok": F.length(u).between(t.MIN_LENGTH, t.MAX_LENGTH), "disulfide_ok": count(u, "C") <= t.MAX_CYSTEINES}
-
-
-def masks(s: Column) -> Column:
-    """For each residue, and one more for any other letter, the bits of its places: made once for each sequence, for ``common_residues``."""
-    bits = lambda a: F.aggregate(F.transform(residues(s), lambda c, i: F.when(c == a, F.expr("1L") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    return F.transform(F.split(F.lit(t.AMINO_ACIDS), ""), bits)
-
-
-def places(s: Column) -> Column:
-    return F.transform(residues(s), lambda c: F.instr(F.lit(t.AMINO_ACIDS), c))
-
-
-def common_residues(masks_: Column, n: Column, places_: Column) -> Column:
-    """Length of the longest common subsequence, a bit for each place of the first sequence (62 at most): one addition a residue of the other."""
-    full = F.pow(F.lit(2.0), n).cast("long") - 1
-
-    def step(state: Column, k: Column) -> Column:
-        hit = state.bitwiseAND(F.get(masks_, k - 1))
-        return (state + hit).bitwiseOR(state - hit).bitwiseAND(full)
-
-    return n - F.bit_count(F.aggregate(places_, full, step))

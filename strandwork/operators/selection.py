@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwork.functions import alignment, tables
 from strandwork.functions import sequence as seq
-from strandwork.functions import tables
 
 
 def stub_log_mic(sequence: Column, species: Column) -> Column:
@@ -65,38 +65,33 @@ def capped_top(candidates: DataFrame, k: int, per_cluster: int = 4, ceiling: flo
 
 
 def identity(a: str, b: str) -> float:
-    """Twice the longest common subsequence over the sum of lengths, for two strings."""
-    if not a or not b:
-        return 0.0
-    bits: dict[str, int] = {}
-    for i, c in enumerate(a):
-        bits[c] = bits.get(c, 0) | 1 << i
-    full = state = (1 << len(a)) - 1
-    for c in b:
-        hit = state & bits.get(c, 0)
-        state = (state + hit | state - hit) & full
-    return 2.0 * (len(a) - state.bit_count()) / (len(a) + len(b))
+    """Twice the longest common subsequence over the sum of lengths, for two strings; 0 if either is empty."""
+    return 2.0 * alignment.subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
 def diverse_top(candidates: DataFrame, k: int, least_eligible: int, ladder: tuple[float, ...] = (0.60, 0.65, 0.70, 0.75), ceiling: float = 0.75, long_share: float = 0.20) -> list[dict]:
     """Greedy choice by score, then sequence, of ``k`` that differ: none too like a reference or one chosen before, few of 38 residues and more.
 
     The candidates stream to the driver in order, and only until ``k`` are chosen; what it keeps are
-    those. The first rung of the ladder with enough eligible ones wins; ValueError if none has.
+    those. The first rung of the ladder with enough eligible ones wins; ValueError if none has. The
+    candidates are computed once, whatever the number of rungs.
     """
-    order = candidates.select("sequence", "score", "identity").orderBy(F.desc("score"), "sequence")
-    for rung in ladder:
-        chosen: list[dict] = []
-        for row in order.toLocalIterator(prefetchPartitions=True):
-            if len(chosen) == k:
-                break
-            s, n_long = row["sequence"], sum(len(c["sequence"]) >= 38 for c in chosen)
-            if row["identity"] > ceiling or (len(s) >= 38 and n_long + 1 > long_share * (len(chosen) + 1)):
-                continue
-            if all(identity(s, c["sequence"]) <= rung for c in chosen):
-                chosen.append({"rank": len(chosen) + 1, "sequence": s, "score": row["score"], "rung": rung})
-        if len(chosen) == k and sum(c["score"] > -5 for c in chosen) >= least_eligible:
-            return chosen
+    order = candidates.select("sequence", "score", "identity").filter(F.col("identity") <= ceiling).persist()
+    try:
+        for rung in ladder:
+            chosen: list[dict] = []
+            for row in order.orderBy(F.desc("score"), "sequence").toLocalIterator(prefetchPartitions=True):
+                if len(chosen) == k:
+                    break
+                s, n_long = row["sequence"], sum(len(c["sequence"]) >= 38 for c in chosen)
+                if len(s) >= 38 and n_long + 1 > long_share * (len(chosen) + 1):
+                    continue
+                if all(identity(s, c["sequence"]) <= rung for c in chosen):
+                    chosen.append({"rank": len(chosen) + 1, "sequence": s, "score": row["score"], "rung": rung})
+            if sum(c["score"] > -5 for c in chosen) >= least_eligible:
+                return chosen
+    finally:
+        order.unpersist()
     raise ValueError("too few eligible candidates at every rung")
 
 

@@ -31,7 +31,9 @@ def query(sql: str | None = None, views: tuple[str, ...] = ("peptides",)):
 
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "peptides").filter(seq.is_valid(F.col("sequence"))).select("sequence").distinct()
+    """Distinct valid sequences, dealt again: adaptive execution would leave so few bytes to one task, with all that is computed on them."""
+    found = view(spark, d, "peptides").filter(seq.is_valid(F.col("sequence"))).select("sequence").distinct()
+    return found.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -58,7 +60,6 @@ def n_of(s: str, letters: str) -> str:
 OK = f"length(sequence) BETWEEN 8 AND 50 AND regexp_full_match(sequence,'[{AA}]+')"
 VALID = f"v AS (SELECT DISTINCT sequence FROM peptides WHERE {OK})"
 CHARGE = f"({n_of('sequence', 'KR')}+0.1e0*{n_of('sequence', 'H')}-{n_of('sequence', 'DE')})"
-LCS = """list_reduce({a}, lambda p, c: list_reduce(range(1, len({b})+1), lambda acc, j: list_append(acc, CASE WHEN {b}[j]=c THEN p[j]+1 ELSE greatest(p[j+1], acc[j]) END), [0::BIGINT]), list_resize([0::BIGINT], len({b})+1, 0::BIGINT))[len({b})+1]"""
 SPECIES = tables.panel()
 MIC = "round(-1e0 + 3e0*CAST(('0x'||substr(md5(concat(sequence,'|',species)),1,6)) AS INT)/16777216e0, 6)"
 PANEL = "panel(species,weight,negative) AS (VALUES " + ",".join(f"('{s}',{w},{str(s in tables.PANEL_NEGATIVE).lower()})" for s, w in SPECIES.items()) + ")"
@@ -104,10 +105,10 @@ def clean_and_validate(spark, d):
     return p.select("pos", "sequence", seq.is_valid(F.col("sequence")).alias("valid"), seq.invalid_reason(F.col("sequence")).alias("reason"))
 
 
-@query(f", {VALID} SELECT sequence, round({total('sequence', tables.MASS)}+18.0153e0,6) AS mass, round({CHARGE},6) AS charge, round({total('sequence', tables.HYDROPATHY)}/length(sequence),6) AS gravy, round({total('sequence', tables.EISENBERG)}/length(sequence),6) AS eisenberg, CASE WHEN {n_of('sequence', 'C')}=0 THEN 1 WHEN {n_of('sequence', 'C')}<=2 THEN 2 ELSE 3 END AS cys_class FROM v")
+@query(f", {VALID} SELECT sequence, round({total('sequence', tables.MASS)}+18.0153e0,9) AS mass, round({CHARGE},9) AS charge, round({total('sequence', tables.HYDROPATHY)}/length(sequence),9) AS gravy, round({total('sequence', tables.EISENBERG)}/length(sequence),9) AS eisenberg, CASE WHEN {n_of('sequence', 'C')}=0 THEN 1 WHEN {n_of('sequence', 'C')}<=2 THEN 2 ELSE 3 END AS cys_class FROM v")
 def sequence_scales(spark, d):
     s = F.col("sequence")
-    return rounded(valid(spark, d).select(s, seq.mass(s).alias("mass"), seq.net_charge(s).alias("charge"), seq.mean(s, tables.HYDROPATHY).alias("gravy"), seq.mean(s, tables.EISENBERG).alias("eisenberg"), seq.cysteine_class(s).alias("cys_class")))
+    return rounded(valid(spark, d).select(s, seq.mass(s).alias("mass"), seq.net_charge(s).alias("charge"), seq.mean(s, tables.HYDROPATHY).alias("gravy"), seq.mean(s, tables.EISENBERG).alias("eisenberg"), seq.cysteine_class(s).alias("cys_class")), 9)
 
 
 _H = f"list_transform({chars('sequence')}, lambda c: {of('c', tables.EISENBERG)})"
@@ -209,19 +210,24 @@ def provenance_counts(spark, d):
     return activity(spark, d).groupBy("endpoint", "source").agg(F.count("*").alias("n"))
 
 
-@query(f", {VALID}, r AS (SELECT DISTINCT sequence AS ref FROM refset_plus WHERE sequence<>''), p AS (SELECT sequence, ref, 2e0*{LCS.format(a='ac', b='bc')}/(length(sequence)+length(ref)) AS identity FROM (SELECT *, string_split(sequence,'') AS ac FROM v), (SELECT *, string_split(ref,'') AS bc FROM r) WHERE 2e0*least(length(sequence),length(ref))>=0.4*(length(sequence)+length(ref))), b AS (SELECT sequence, max(identity) AS identity FROM p WHERE identity>=0.4 GROUP BY sequence) SELECT v.sequence, round(coalesce(identity,0),6) AS identity FROM v LEFT JOIN b USING (sequence)", ("peptides", "refset", "refset_plus"))
+@query()
 def nearest_reference(spark, d):
-    return rounded(similarity.nearest(valid(spark, d), view(spark, d, "refset_plus")).select("sequence", "identity"))
+    return rounded(similarity.nearest(valid(spark, d), view(spark, d, "refset")))
+
+
+@query()
+def nearest_shortlisted(spark, d):
+    return rounded(similarity.nearest_shortlisted(valid(spark, d), view(spark, d, "refset").filter("length(sequence) >= 3")))
 
 
-@query(f", {VALID}, r AS (SELECT DISTINCT sequence AS ref FROM refset WHERE length(sequence)>=3), gv AS (SELECT DISTINCT sequence, substr(sequence,i::INT,3) AS g FROM (SELECT sequence, unnest(range(1,length(sequence)-1)) AS i FROM v)), gr AS (SELECT DISTINCT ref, substr(ref,i::INT,3) AS g FROM (SELECT ref, unnest(range(1,length(ref)-1)) AS i FROM r)), s AS (SELECT sequence, ref, count(*) AS n FROM gv JOIN gr USING (g) GROUP BY ALL), j AS (SELECT s.sequence, s.ref, n/((SELECT count(*) FROM gv WHERE gv.sequence=s.sequence)+(SELECT count(*) FROM gr WHERE gr.ref=s.ref)-n) AS jaccard FROM s) SELECT sequence, ref, round(jaccard,6) AS jaccard, rank FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY jaccard DESC, ref)::INT AS rank FROM j) WHERE rank<=5", ("peptides", "refset"))
+@query(f", {VALID}, r AS (SELECT DISTINCT sequence AS ref FROM refset WHERE length(sequence)>=3), gv AS (SELECT DISTINCT sequence, substr(sequence,i::INT,3) AS g FROM (SELECT sequence, unnest(range(1,length(sequence)-1)) AS i FROM v)), gr AS (SELECT DISTINCT ref, substr(ref,i::INT,3) AS g FROM (SELECT ref, unnest(range(1,length(ref)-1)) AS i FROM r)), s AS (SELECT sequence, ref, count(*) AS n FROM gv JOIN gr USING (g) GROUP BY ALL), j AS (SELECT s.sequence, s.ref, n/((SELECT count(*) FROM gv WHERE gv.sequence=s.sequence)+(SELECT count(*) FROM gr WHERE gr.ref=s.ref)-n) AS jaccard FROM s) SELECT sequence, ref, round(jaccard,6) AS jaccard, rank FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY jaccard DESC, ref)::INT AS rank FROM j) WHERE rank<=400", ("peptides", "refset"))
 def kmer_shortlist(spark, d):
-    return rounded(similarity.shortlist(valid(spark, d), view(spark, d, "refset").filter("length(sequence) >= 3"), top=5))
+    return rounded(similarity.shortlist(valid(spark, d), view(spark, d, "refset").filter("length(sequence) >= 3")))
 
 
-@query(f", {VALID}, s AS (SELECT sequence, string_split(sequence,'') AS ac FROM v ORDER BY md5(sequence), sequence LIMIT 60) SELECT round(avg(2e0*{LCS.format(a='a.ac', b='b.ac')}/(length(a.sequence)+length(b.sequence))),6) AS mean_identity FROM s a JOIN s b ON a.sequence<b.sequence")
+@query()
 def sampled_diversity(spark, d):
-    return rounded(similarity.diversity(valid(spark, d), 60))
+    return rounded(similarity.diversity(valid(spark, d)))
 
 
 @query(f", {VALID} SELECT sequence FROM v WHERE sequence NOT IN (SELECT sequence FROM refset_plus)", ("refset_plus", "peptides", "refset"))
@@ -234,14 +240,14 @@ def overlap(spark, d):
     return valid(spark, d).intersect(view(spark, d, "refset_plus").select("sequence"))
 
 
-@query(f", {VALID}, {SCORES} SELECT sequence, round(success_overall,6) AS success_overall, round(success_gram_negative,6) AS success_gram_negative, round(success_gram_positive,6) AS success_gram_positive, round(mean_log_mic,6) AS mean_log_mic, eligible, round(score,6) AS score FROM s2")
+@query(f", {VALID}, {SCORES} SELECT sequence, round(success_overall,9) AS success_overall, round(success_gram_negative,9) AS success_gram_negative, round(success_gram_positive,9) AS success_gram_positive, round(mean_log_mic,9) AS mean_log_mic, eligible, round(score,9) AS score FROM s2")
 def panel_scores(spark, d):
-    return rounded(selection.panel_success(selection.predictions(valid(spark, d))))
+    return rounded(selection.panel_success(selection.predictions(valid(spark, d))), 9)
 
 
-@query(f", {VALID}, {SCORES} SELECT round(score,1) AS tier, count(*) AS n FROM s2 GROUP BY tier")
+@query(f", {VALID}, {SCORES} SELECT floor((round(score*1e8)+5000)/10000)/1e4 AS tier, count(*) AS n FROM s2 GROUP BY tier")
 def score_tiers(spark, d):
-    return selection.panel_success(selection.predictions(valid(spark, d))).groupBy(F.round("score", 1).alias("tier")).agg(F.count("*").alias("n"))
+    return selection.panel_success(selection.predictions(valid(spark, d))).groupBy((F.floor((F.round(F.col("score") * 1e8) + 5000) / 10000) / 1e4).alias("tier")).agg(F.count("*").alias("n"))
 
 
 _CL = f"(least((length(sequence)-8)//6,6)*8+floor(greatest(-2,least(12,{n_of('sequence', 'KR')}-{n_of('sequence', 'DE')}))/3e0))::INT"
@@ -349,12 +355,12 @@ def band_histogram(spark, d):
     return spark.range(7).select(F.col("id").cast("int").alias("band")).join(b, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT 'duplicate' AS problem, sum(c-1)::BIGINT AS n FROM (SELECT count(*) AS c FROM peptides GROUP BY sequence HAVING count(*)>1) HAVING sum(c-1)>0 UNION ALL SELECT 'too short', count(*) FROM peptides WHERE length(sequence)<8 HAVING count(*)>0 UNION ALL SELECT 'in excluded set', count(DISTINCT sequence) FROM peptides WHERE sequence IN (SELECT sequence FROM refset_plus) HAVING count(*)>0", ("peptides", "refset", "refset_plus"))
+@query("SELECT 'duplicate' AS problem, sum(c-1)::BIGINT AS n FROM (SELECT count(*) AS c FROM peptides GROUP BY sequence HAVING count(*)>1) HAVING sum(c-1)>0 UNION ALL SELECT 'too short', count(*) FROM peptides WHERE length(sequence)<8 HAVING count(*)>0 UNION ALL SELECT 'too long', count(*) FROM peptides WHERE length(sequence)>50 HAVING count(*)>0 UNION ALL SELECT 'in excluded set', count(DISTINCT sequence) FROM peptides WHERE sequence IN (SELECT sequence FROM refset_plus) HAVING count(*)>0", ("peptides", "refset", "refset_plus"))
 def library_problems(spark, d):
     return verify.problems(view(spark, d, "peptides"), view(spark, d, "refset_plus"))
 
 
-@query("SELECT pos, unnest(list_filter([CASE WHEN length(sequence)=0 THEN 'empty' END, CASE WHEN length(sequence) BETWEEN 1 AND 7 THEN 'too short' END, CASE WHEN r>1 THEN 'duplicate' END], lambda x: x IS NOT NULL)) AS message FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY pos) AS r FROM peptides)")
+@query("SELECT pos, unnest(list_filter([CASE WHEN length(sequence)=0 THEN 'empty' END, CASE WHEN length(sequence) BETWEEN 1 AND 7 THEN 'too short' END, CASE WHEN length(sequence)>50 THEN 'too long' END, CASE WHEN r>1 THEN 'duplicate' END], lambda x: x IS NOT NULL)) AS message FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY pos) AS r FROM peptides)")
 def record_messages(spark, d):
     return verify.record_messages(view(spark, d, "peptides"))
 
@@ -402,7 +408,7 @@ def guidance_and_pooling(spark, d):
 SQL["guidance_and_pooling"] = SQL["guidance_and_pooling"].removeprefix("WITH RECURSIVE  ")
 
 
-@query(f", {VALID}, {SCORES}, r AS (SELECT DISTINCT sequence AS ref FROM refset WHERE sequence<>''), p AS (SELECT sequence, max(2e0*{LCS.format(a='ac', b='bc')}/(length(sequence)+length(ref))) AS identity FROM (SELECT *, string_split(sequence,'') AS ac FROM v), (SELECT *, string_split(ref,'') AS bc FROM r) WHERE 2e0*least(length(sequence),length(ref))>=0.4*(length(sequence)+length(ref)) GROUP BY sequence) SELECT s2.sequence, round(score,6) AS score, eligible, round(CASE WHEN identity>=0.4 THEN identity ELSE 0 END,6) AS identity FROM s2 LEFT JOIN p USING (sequence) WHERE coalesce(identity,0)<0.75 ORDER BY s2.score DESC, s2.sequence LIMIT 100", ("peptides", "refset"))
+@query()
 def library_screen(spark, d):
     """Flagship: valid peptides that no reference resembles, ranked by their score over the panel."""
     v = valid(spark, d)
