@@ -88,6 +88,10 @@ def selectivity_axis(x: Column) -> Column:
     return clip(x / 6.0 + 0.5, 0.0, 1.0)
 
 
+def from_selectivity_axis(x: Column) -> Column:
+    return (x - 0.5) * 6.0
+
+
 def length_axis(n: Column) -> Column:
     return clip((n - t.MIN_LENGTH) / float(t.MAX_LENGTH - t.MIN_LENGTH), 0.0, 1.0)
 

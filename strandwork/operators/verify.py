@@ -37,3 +37,39 @@ def rank_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def missing_members(part: DataFrame, whole: DataFrame) -> DataFrame:
     return part.select("sequence").distinct().join(whole.select("sequence").distinct(), "sequence", "left_anti")
+
+
+def file_findings(records: DataFrame, expected: int) -> DataFrame:
+    """(pos, message): all that is wrong with a sequence file's records (pos from 1, header, sequence) and, at pos 0, with their number."""
+    s, header = F.col("sequence"), F.coalesce("header", F.lit(""))
+    first = F.row_number().over(Window.partitionBy("sequence").orderBy("pos"))
+    name = F.concat(F.lit("Record "), F.col("pos").cast("string"))
+    of = F.concat(name, F.lit(" ('"), header, F.lit("'): "))
+    bad = F.array_sort(F.array_distinct(F.filter(F.split(s, ""), lambda c: (c != "") & ~c.rlike(seq.VALID))))
+    n = F.length(s)
+    said = F.array_compact(F.array(
+        F.when(F.trim(header) == "", F.concat(name, F.lit(": missing header."))), F.when(n == 0, F.concat(of, F.lit("empty sequence."))),
+        F.when((n > 0) & (F.size(bad) > 0), F.concat(of, F.lit("invalid characters ['"), F.array_join(bad, "', '"), F.lit("']."))),
+        F.when((n > 0) & (n < seq.t.MIN_LENGTH), F.concat(of, F.format_string("sequence too short (%d < %d).", n, F.lit(seq.t.MIN_LENGTH)))),
+        F.when(n > seq.t.MAX_LENGTH, F.concat(of, F.format_string("sequence too long (%d > %d).", n, F.lit(seq.t.MAX_LENGTH)))),
+        F.when((n > 0) & (F.col("first") > 1), F.concat(of, F.lit("duplicate sequence."))),
+    ))
+    own = records.withColumn("first", first).select("pos", F.explode(said).alias("message"))
+    total = records.agg(F.count("*").alias("n"))
+    size = F.when(F.col("n") == 0, "FASTA file is empty — no sequences found.").when(F.col("n") != expected, F.format_string("Expected %d sequences, got %d.", F.lit(expected), F.col("n")))
+    return own.union(total.select(F.lit(0).cast(records.schema["pos"].dataType), size.alias("message")).filter("message is not null"))
+
+
+def prefix_findings(top: DataFrame, overflow: DataFrame, k: int) -> DataFrame:
+    """(differing, first_mismatch, shared, long_enough) of a ranked list (rank, sequence) and the first ``k`` of a longer one."""
+    head = overflow.filter(F.col("rank") <= k)
+    both = top.withColumnRenamed("sequence", "x").join(head.withColumnRenamed("sequence", "y"), "rank", "full")
+    same = F.col("x").eqNullSafe(F.col("y"))
+    out = both.agg(F.count_if(~same).alias("differing"), F.min(F.when(~same, F.col("rank"))).alias("first_mismatch"))
+    shared = top.select("sequence").distinct().join(head.select("sequence").distinct(), "sequence", "left_semi").agg(F.count("*"))
+    return out.withColumn("shared", shared.scalar()).withColumn("long_enough", head.agg(F.count("*") >= k).scalar())
+
+
+def looked_up(rows: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """``rows`` (row) with the embedding of the same row; rows without one are left out."""
+    return rows.join(embeddings, "row")

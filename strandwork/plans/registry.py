@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import more as _more  # noqa: F401  registers its queries with the others'
 from . import queries as own
 
 
