@@ -27,8 +27,11 @@ def harmonized(df: DataFrame, ranges: bool = False) -> DataFrame:
     bound = parsing.censored(F.col("value"))
     if "relation" in df.columns:
         bound = bound | F.coalesce(F.trim("relation").isin(">", "≥", ">="), F.lit(False))
+    # labels repeat, so each is read once
+    labels = df.select(F.col("species").alias("label")).distinct().withColumn("name", parsing.species(F.col("label")))
+    df = df.join(labels, F.col("species").eqNullSafe(F.col("label")), "left").drop("label").withColumn("species", F.col("name"))
     out = df.select(
-        own.alias("sequence"), parsing.species(F.col("species")).alias("species"), (F.col("strain") if "strain" in df.columns else F.lit(None).cast("string")).alias("strain"), "endpoint",
+        own.alias("sequence"), F.col("species"), (F.col("strain") if "strain" in df.columns else F.lit(None).cast("string")).alias("strain"), "endpoint",
         parsing.value(F.col("value"), ranges).alias("v"), parsing.unit(F.col("unit")).alias("u"), bound.alias("censored"), "source",
     )
     out = out.filter(sequence.is_valid(F.col("sequence")) & F.col("endpoint").isin(*ENDPOINTS))
