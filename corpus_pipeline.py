@@ -17,11 +17,12 @@ LEAST_SCORE = 0.5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose votes make good text likelier than bad; null and empty texts go."""
     return quality.filter_docs(docs)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not ``und`` and has at least LEAST_SCORE of their letters."""
+    """Documents whose language is known and has at least LEAST_SCORE of their letters; scripts that no label showed give no score."""
     return language.filter_docs(docs, LEAST_SCORE)
 
 
@@ -31,10 +32,12 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix in its order, each as often as it is taken; the last of a source may be cut."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of binary lengths, a row each; documents that the mix repeats are packed each time."""
     return packing.digest(docs, added=True)
 
 
@@ -44,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, with Parquet in the shared folder between them."""
+    """All stages over the documents of ``sf_dir``, with Parquet in the shared folder between them.
+
+    A stage's table is deleted when the next one is written; the last, which the result reads, stays
+    until the shared folder is cleared. An empty table gives an empty result.
+    """
     folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
@@ -52,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                common.remove(spark, f"{folder}/{k - 1}")
     return docs
