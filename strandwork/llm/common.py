@@ -51,6 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store it is; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

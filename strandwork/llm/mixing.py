@@ -15,7 +15,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, ranks
@@ -47,12 +47,6 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
-def shuffled(doc_id: Column) -> Column:
-    """The order of a source's documents: 60 bits of an md5 of SEED and the id, spread over all 64-bit integers."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    return F.shiftleft(bits - F.lit(1 << 59), 4)
-
-
 class Slots:
     """The slots of sources that have ``counts`` of them: which source a slot has, and where a source's k-th slot is."""
 
@@ -108,7 +102,7 @@ class Slots:
         return low
 
 
-def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
+def schedule(docs: DataFrame, **options: object) -> DataFrame:
     """For every row of ``docs`` (doc_id, text, source): doc_id, hash (of the text), source, size, source_size, target, taken and starts.
 
     Sizes are words; a null text has none. ``taken`` counts the words of the document that the mix
@@ -118,6 +112,11 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     before it. A source's documents are in the order of a hash of doc_id and SEED, so reruns agree. An
     empty table gives no row; a source without words a target of 0. A text of any length is only counted.
     """
+    return planned(docs, **options)[0]
+
+
+def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """``schedule``, and how many slots the mix has."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.expr(SIZE).alias("size"), F.xxhash64("text").alias("hash"))
     rows = common.checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -133,7 +132,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     table = spark.createDataFrame([(i, x, n, float(t), w) for i, (x, n, t, w) in enumerate(zip(names, sizes, aims, words, strict=True))], "s int, name string, source_size long, target double, words long")
     rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")  # MOST_SOURCES rows at most
 
-    placed = ranks.before(rows.withColumn("mixed", shuffled(F.col("doc_id"))), ["s"], "mixed", ["doc_id", "hash", "row"], {"begin": F.col("size")}, sum(x[0] for x in found.values()))
+    placed = ranks.before(rows.withColumn("mixed", ranks.shuffled(F.col("doc_id"), SEED)), ["s"], "mixed", ["doc_id", "hash", "row"], {"begin": F.col("size")}, sum(x[0] for x in found.values()))
     # each round through the source's words that still reaches the document, and how many of its words it takes
     rounds = "if(size > 0 and begin < words, sequence(0L, (words - begin - 1) div source_size), cast(array() as array<long>))"
     times = placed.withColumn("times", F.expr(f"transform({rounds}, r -> named_struct('at', begin + r * source_size, 'words', least(size, words - begin - r * source_size)))"))
@@ -148,13 +147,13 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     out = times.withColumn("slots", slots_of("s", F.transform("times", lambda x: x["at"])))
     starts = F.expr(f"transform(times, (x, i) -> named_struct('words', x.words, 'slot', slots[i], 'offset', x.at % {block}))")
     taken = F.expr("aggregate(times, 0L, (a, x) -> a + x.words)")
-    return out.select("doc_id", "hash", "source", "size", "source_size", "target", taken.alias("taken"), starts.alias("starts"))
+    return out.select("doc_id", "hash", "source", "size", "source_size", "target", taken.alias("taken"), starts.alias("starts")), slots.n
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns; slot and offset are those of the first time that a document is taken, null if it isn't."""
     first = F.get("starts", F.lit(0))
-    return schedule(docs).select("doc_id", "size", "source_size", "target", "taken", first["slot"].alias("slot"), first["offset"].alias("offset"))
+    return schedule(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", first["slot"].alias("slot"), first["offset"].alias("offset"))
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
@@ -165,7 +164,8 @@ def mixed(docs: DataFrame, **options: object) -> DataFrame:
     text's length. Rows of equal doc_id, text and source share their times one by one; documents
     without words are never taken. An empty table gives no row.
     """
-    found = schedule(docs, **options).filter("taken > 0")
+    found, n_slots = planned(docs, **options)
+    found = found.filter("taken > 0")
     key = [F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), F.col("source").alias("k_source")]
     numbered = lambda df: df.withColumn("k_copy", F.row_number().over(Window.partitionBy("k_id", "k_hash", "k_source").orderBy(F.lit(1))))
     times = numbered(found.select(*key, "size", "starts"))
@@ -180,5 +180,7 @@ def mixed(docs: DataFrame, **options: object) -> DataFrame:
     if "n_chars" in docs.columns:
         length = F.length(F.col("doc.text")).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("doc", F.when(whole, F.col("doc")).otherwise(F.col("doc").withField("n_chars", length)))
-    ordered = out.repartitionByRange("x.slot", "x.offset", "doc.doc_id").sortWithinPartitions("x.slot", "x.offset", "doc.doc_id")
+    # slots are of equal size, so ranges of them need no sample of the rows
+    parts = common.shuffle_partitions(docs.sparkSession)
+    ordered = out.repartitionById(parts, (F.col("x.slot") * parts / max(1, n_slots)).cast("int")).sortWithinPartitions("x.slot", "x.offset", "doc.doc_id")
     return ordered.select("doc.*")

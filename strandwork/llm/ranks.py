@@ -15,6 +15,12 @@ from . import common
 CHUNK_ROWS, SPREAD = 65_536, 4
 
 
+def shuffled(doc_id: Column, seed: int) -> Column:
+    """A hash to order documents by: 60 bits of an md5 of the seed and the id, spread over all 64-bit integers."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    return F.shiftleft(bits - F.lit(1 << 59), 4)
+
+
 def chunk_bits(df: DataFrame, rows: int) -> int:
     chunks = max(rows / CHUNK_ROWS, SPREAD * common.shuffle_partitions(df.sparkSession))
     return max(1, (int(chunks) - 1).bit_length())

@@ -130,7 +130,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = common.checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), atom_key(F.col("text")).alias("key")))
     starts = plan(common.checkpointed(rows.groupBy("key").agg(F.sum("size").alias("size"))), shards)
     shard = sum(((F.col("key") >= s).cast("int") for s in starts), F.lit(0))
-    placed = rows.withColumn("shard", shard.cast("int")).withColumn("mixed", F.xxhash64("doc_id", F.lit(4)))
+    placed = rows.withColumn("shard", shard.cast("int")).withColumn("mixed", ranks.shuffled(F.col("doc_id"), 4))
     numbered = ranks.before(placed, ["shard"], "mixed", ["doc_id", "key"], {"slot": F.lit(1)}, rows.count())
     return numbered.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
