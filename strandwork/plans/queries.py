@@ -24,7 +24,7 @@ def query(sql: str | None = None, views: tuple[str, ...] = ("peptides",)):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"{duckdb(*views)} {sql}"
+            SQL[f.__name__] = f"{duckdb(*views)} {sql}" if views else sql
         return f
 
     return put
@@ -405,9 +405,6 @@ def guidance_and_pooling(spark, d):
     return e.select("vec_id", F.round(F.aggregate(guided, F.lit(0.0), lambda a, x: a + x), 4).alias("guided"), F.round(arrays.masked_mean(F.col("u"), F.transform("u", lambda x: F.lit(1.0))), 4).alias("pooled"))
 
 
-SQL["guidance_and_pooling"] = SQL["guidance_and_pooling"].removeprefix("WITH RECURSIVE  ")
-
-
 @query()
 def library_screen(spark, d):
     """Flagship: valid peptides that no reference resembles, ranked by their score over the panel."""
