@@ -59,7 +59,16 @@ class Trie(dict):
 
     def node(self, path: list[int], word: str, end: int) -> int:
         """The new node of ``word[:end]``; ``path`` has the nodes of all shorter prefixes."""
-        best, tokens = self.step(word, end, [(self.best[at], self.tokens[at]) for at in path[: -self.longest - 1 : -1]])
+        size, parent = len(word[end - 1].encode()), path[-1]
+        best, tokens = self.best[parent] + size * BYTE_SCORE, self.tokens[parent] + size
+        get = self.scores.get
+        for begin in range(max(0, end - self.longest), end):
+            score = get(word[begin:end])
+            if score is not None:
+                at = path[begin]
+                found, count = self.best[at] + score, self.tokens[at] + 1
+                if found > best or (found == best and count < tokens):
+                    best, tokens = found, count
         self.best.append(best)
         self.tokens.append(tokens)
         self.next[path[-1] << 21 | ord(word[end - 1])] = made = len(self.best) - 1
