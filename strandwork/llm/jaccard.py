@@ -280,7 +280,7 @@ def linked(docs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, percen
     left = rest.alias("x").join(rest.alias("y"), across).select(x("set_id").alias("a"), y("set_id").alias("b")).distinct()
     left = left.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = similar(docs, common.checkpointed(near(left, bits, percent)), words, percent)
-    return common.checkpointed(links.union(more))
+    return links.union(more)
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -298,7 +298,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rows = common.checkpointed(prefixes(docs, sketch(docs, words), words, percent))
     known = rows.filter("n > 0 and doc_id is not null")
     sets = common.checkpointed(known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("c"), F.first("grp").alias("grp")))
-    links = linked(docs, known, sets, words, percent)
+    links = common.settled(lambda: linked(docs, known, sets, words, percent))
     # rows that share a doc_id join their sets
     several = known.groupBy("doc_id").agg((F.min("a") != F.max("a")).alias("x"), (F.min("b") != F.max("b")).alias("y"), (F.min("n") != F.max("n")).alias("z")).filter("x or y or z").select("doc_id")
     own = known.select("doc_id", "n", "a", "b").join(several, "doc_id").join(sets.select("n", "a", "b", "set_id"), ["n", "a", "b"])
