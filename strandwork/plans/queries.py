@@ -32,7 +32,9 @@ def query(sql: str | None = None, views: tuple[str, ...] = ("peptides",)):
 
 def valid(spark: SparkSession, d: str) -> DataFrame:
     """Distinct valid sequences, dealt again: adaptive execution would leave so few bytes to one task, with all that is computed on them."""
-    found = view(spark, d, "peptides").filter(seq.is_valid(F.col("sequence"))).select("sequence").distinct()
+    # a number that a row has keeps the filter above the sequence, which else is made anew for each condition on it
+    made = view(spark, d, "peptides").select("sequence", F.monotonically_increasing_id().alias("row"))
+    found = made.filter(seq.is_valid(F.col("sequence")) & (F.col("row") >= 0)).select("sequence").distinct()
     return found.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -222,7 +224,7 @@ def nearest_shortlisted(spark, d):
 
 @query(f", {VALID}, r AS (SELECT DISTINCT sequence AS ref FROM refset WHERE length(sequence)>=3), gv AS (SELECT DISTINCT sequence, substr(sequence,i::INT,3) AS g FROM (SELECT sequence, unnest(range(1,length(sequence)-1)) AS i FROM v)), gr AS (SELECT DISTINCT ref, substr(ref,i::INT,3) AS g FROM (SELECT ref, unnest(range(1,length(ref)-1)) AS i FROM r)), s AS (SELECT sequence, ref, count(*) AS n FROM gv JOIN gr USING (g) GROUP BY ALL), j AS (SELECT s.sequence, s.ref, n/((SELECT count(*) FROM gv WHERE gv.sequence=s.sequence)+(SELECT count(*) FROM gr WHERE gr.ref=s.ref)-n) AS jaccard FROM s) SELECT sequence, ref, round(jaccard,6) AS jaccard, rank FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY jaccard DESC, ref)::INT AS rank FROM j) WHERE rank<=400", ("peptides", "refset"))
 def kmer_shortlist(spark, d):
-    return rounded(similarity.shortlist(valid(spark, d), view(spark, d, "refset").filter("length(sequence) >= 3")))
+    return similarity.shortlist_rows(valid(spark, d), view(spark, d, "refset").filter("length(sequence) >= 3"))
 
 
 @query()
