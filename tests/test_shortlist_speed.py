@@ -3,8 +3,10 @@
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 
+from strandwork.functions import alignment
 from strandwork.operators import similarity
 from strandwork.plans import registry
 
@@ -46,3 +48,16 @@ def test_rows_of_lists(spark, monkeypatch, long):
 def test_names_of_references_do_not_come_from_python(spark):
     found = plan(registry.queries()["kmer_shortlist"](spark, SMALL))
     assert "ref#" not in found[found.rindex("MapInArrow run") :].split("\n")[0] and "round(" not in found
+
+
+def test_subsequences_in_long_vectors():
+    rng = random.Random(3)
+    a, b = (["".join(rng.choice("ACDEF") for _ in range(rng.choice(sizes))) for _ in range(120)] for sizes in ((1, 20, 31, 32, 33, 61, 62), (1, 8, 40, 90, 200)))
+    wanted = np.random.default_rng(3).random((len(b), len(a))) < 0.3
+    wanted[5] = False
+    assert np.array_equal(alignment.lengths(a, b, wanted), np.where(wanted, alignment.table(a, b).T, 0))
+
+
+def test_queries_of_nearest_shortlisted_are_read_once(spark):
+    found = plan(registry.queries()["nearest_shortlisted"](spark, SMALL))
+    assert found.count("documents.parquet") == 1 and "LeftOuter" not in found
